@@ -10,7 +10,7 @@ one pass without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The largest number of labelled documents to train on, taken by hash; all documents are scored.
-MAX_TRAIN = 12_000
+MAX_TRAIN = 6_000
 FOLDS = 5
 #: A feature must be in so many training documents, and differ by so many standard errors.
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 4.0, 600
@@ -83,21 +83,24 @@ class Chain:
     models: list[Linear] = field(default_factory=list)
 
     @classmethod
-    def train(cls, bags: Sequence[Sequence[str]], labels: np.ndarray, folds: np.ndarray, categories: Sequence[str]) -> Chain:
+    def train(cls, bags: Iterable[Iterable[str]], labels: np.ndarray, folds: np.ndarray, categories: Sequence[str]) -> Chain:
         """``labels``: documents by categories, 0 or 1. A category with one class alone gets its prior."""
-        counts: dict[str, int] = {}
-        for bag in bags:
-            for f in bag:
-                counts[f] = counts.get(f, 0) + 1
-        names = sorted(f for f, n in counts.items() if n >= LEAST_DOCS)
+        seen: dict[str, int] = {}
+        raw = [np.fromiter((seen.setdefault(f, len(seen)) for f in bag), np.int32) for bag in bags]
+        n_docs = len(raw)
+        flat = np.concatenate(raw) if raw else np.zeros(0, np.int32)
+        counts = np.bincount(flat, minlength=len(seen))
+        place = np.cumsum(counts >= LEAST_DOCS) - 1
+        names = [f for f, i in seen.items() if counts[i] >= LEAST_DOCS]
         index = {f: i for i, f in enumerate(names)}
-        cols = [np.fromiter((index[f] for f in bag if f in index), np.int64) for bag in bags]
-        where = np.repeat(np.arange(len(bags)), [len(c) for c in cols])
-        flat = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-        out, fed = cls(list(categories)), np.zeros((len(bags), 0))
+        del seen
+        where = np.repeat(np.arange(n_docs), [len(c) for c in raw])
+        often = counts[flat] >= LEAST_DOCS
+        where, flat = where[often], place[flat[often]]
+        out, fed = cls(list(categories)), np.zeros((n_docs, 0))
 
         def model(rows: np.ndarray, y: np.ndarray, extra: np.ndarray) -> Linear:
-            use = np.zeros(len(bags), bool)
+            use = np.zeros(n_docs, bool)
             use[rows] = True
             n1, n0 = max(1, int(y[rows].sum())), max(1, int((1 - y[rows]).sum()))
             m = use[where]
@@ -116,7 +119,7 @@ class Chain:
         def dense(best: np.ndarray, extra: np.ndarray) -> np.ndarray:
             place = np.full(len(names) + 1, -1)
             place[best] = np.arange(len(best))
-            x = np.zeros((len(bags), len(best) + extra.shape[1] + 1))
+            x = np.zeros((n_docs, len(best) + extra.shape[1] + 1))
             j = place[flat]
             x[where[j >= 0], j[j >= 0]] = 1
             x[:, len(best) : -1] = extra
@@ -128,9 +131,9 @@ class Chain:
             if len(y) == 0 or y.min() == y.max():
                 prior = float(y.mean()) if len(y) else 0.0
                 out.models.append(Linear([], np.zeros(0), np.zeros(fed.shape[1]), float(_logit(np.array([prior]))[0])))
-                fed = np.column_stack([fed, np.full(len(bags), _logit(np.array([prior]))[0])])
+                fed = np.column_stack([fed, np.full(n_docs, _logit(np.array([prior]))[0])])
                 continue
-            oof = np.zeros(len(bags))
+            oof = np.zeros(n_docs)
             for k in range(FOLDS):
                 rows, held = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
                 if not len(held):
@@ -141,7 +144,7 @@ class Chain:
                 m = model(rows, y, fed)
                 x = dense(np.array([index[f] for f in m.names], np.int64), fed)
                 oof[held] = x[held] @ np.concatenate([m.weights, m.chain, [m.bias]])
-            out.models.append(model(np.arange(len(bags)), y, fed))
+            out.models.append(model(np.arange(n_docs), y, fed))
             fed = np.column_stack([fed, np.clip(oof, -9, 9)])
         return out
 
@@ -197,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     got = both.mapInPandas(bags, f"k {kind['k']}, {', '.join(f'{c} {kind[c]}' for c in cols)}, fold int, words string, style string").toPandas()
     got = got.sort_values(["k", "words"]).drop_duplicates("k").reset_index(drop=True)
     y = np.column_stack([(got[c] == v).to_numpy().astype(int) for c, v in categories.values()]) if len(got) else np.zeros((0, len(categories)), int)
-    sets = [sorted({f for w in words.split() for f in word_features(w)} | set(style.split())) for words, style in zip(got["words"], got["style"], strict=True)]
+    sets = (sorted({f for w in words.split() for f in word_features(w)} | set(style.split())) for words, style in zip(got["words"], got["style"], strict=True))
     return Chain.train(sets, y, got["fold"].to_numpy(), list(categories))
 
 
