@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES = 128
-#: Rows of the table of terms that a worker keeps: about 40 MB.
-TABLE = 40_000
+#: Rows of the table of terms that a worker keeps: about 60 MB.
+TABLE = 80_000
 _M = np.uint64
 
 
@@ -30,12 +30,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _M(31))
 
 
+def _gamma(x: np.ndarray) -> np.ndarray:
+    high, low = (x >> _M(32)).astype(np.float32), (x & _M(0xFFFFFFFF)).astype(np.float32)
+    scale = np.float32(2.0**-32)
+    return -np.log((high + np.float32(0.5)) * scale * ((low + np.float32(0.5)) * scale)).clip(max=np.float32(-1e-7))
+
+
 class Sampler:
     """Fingerprints texts. The table of (term, count) rows is bounded, so memory is too."""
 
     def __init__(self, samples: int = SAMPLES, seed: int = 1, table: int = TABLE) -> None:
         self.samples, self.table = samples, table
-        grid = np.arange(5 * samples, dtype=_M).reshape(5, samples) + _M(seed * 1_000_003)
+        grid = np.arange(3 * samples, dtype=_M).reshape(3, samples) + _M(seed * 1_000_003)
         with np.errstate(over="ignore"):
             self.salt = _mix((grid + _M(1)) * _M(0x9E3779B97F4A7C15))
         self.rows: dict[tuple[str, int], int] = {}
@@ -46,16 +52,20 @@ class Sampler:
         for lo in range(0, len(terms), 512):
             part = terms[lo : lo + 512]
             h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w, _ in part], _M)
+            n = np.log(np.array([n for _, n in part], np.float32))[:, None]
             with np.errstate(over="ignore"):
-                u = [((_mix(h[:, None] ^ s) >> _M(11)).astype(np.float64) + 0.5) / 2.0**53 for s in self.salt]
-                r, c, beta = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
-                t = np.floor(np.log(np.array([n for _, n in part], float))[:, None] / r + beta)
+                # A hash gives two uniforms of 32 bits; minus the logarithm of their product is a gamma variate of shape 2.
+                x, y, z = (_mix(h[:, None] ^ s) for s in self.salt)
+                r, c = _gamma(x), _gamma(y)
+                beta = (z >> _M(40)).astype(np.float32) * np.float32(2.0**-24)
+                t = np.floor(n / r + beta)
                 self.keys[at + lo : at + lo + len(part)] = np.log(c) - r * (t - beta) - r
-                self.marks[at + lo : at + lo + len(part)] = (_mix(h[:, None] + (t.astype(np.int64).view(_M) * _M(0xD6E8FEB86659FD93)) + self.salt[0]) >> _M(48)).astype(np.uint16)
+                mark = (h[:, None] + t.astype(np.int64).view(_M) * _M(0xD6E8FEB86659FD93)) * _M(0x9FB21C651E98DF25)
+                self.marks[at + lo : at + lo + len(part)] = (mark >> _M(48)).astype(np.uint16)
 
     def __call__(self, text: str) -> str:
         """Hex digits, four a sample; empty for a text without words."""
-        items = sorted(Counter(text.split()).items()) if text else []
+        items = list(Counter(text.split()).items()) if text else []
         if not items:
             return ""
         best = np.full(self.samples, np.inf, np.float32)
