@@ -12,13 +12,14 @@ of different components go on to the pairwise search.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, shingle_sets
@@ -26,9 +27,9 @@ from .common import keep
 from .components import components
 
 #: Largest number of prefix shingles that two documents must share before verification.
-MOST = 3
-#: The frequency sketch has 2**SKETCH_BITS counters at most (64 MB), fewer for little text.
-SKETCH_BITS, SKETCH_LEAST, SKETCH_LOAD = 24, 16, 256
+MOST = 4
+#: The frequency sketch has 2**SKETCH_BITS counters at most (64 MB a worker), fewer for little text.
+SKETCH_BITS, SKETCH_LEAST, SKETCH_LOAD = 24, 16, 32
 SKETCH_BLOCK = 1 << 14
 #: So many candidates at most are broadcast (16 bytes each) to find their texts.
 MOST_BROADCAST = 1_000_000
@@ -36,18 +37,19 @@ MOST_BROADCAST = 1_000_000
 
 def _scan(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         for b in batches:
             n, sig = [], []
             for _, _, data, offsets in chunks(b.column("text")):
                 sets = list(shingle_sets(data, offsets, size))
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts)) if sets else 0
+                at, n_at = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                counts[at] += n_at.astype(np.int32)
                 n += [len(s) for s in sets]
                 sig += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "sig", "block", "counts"])
         blocks = [(i, counts[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK]) for i in range(-(-len(counts) // SKETCH_BLOCK))]
-        blocks = [(i, c.astype("<i8").tobytes()) for i, c in blocks if c.any()]
+        blocks = [(i, zlib.compress(c.astype("<i4").tobytes(), 1)) for i, c in blocks if c.any()]
         k = len(blocks)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
@@ -61,7 +63,7 @@ def _levels(sketch: DataFrame, bits: int) -> np.ndarray:
     """How far above the usual load each counter is: 0, or 1 more than the binary logarithm."""
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, "<i8") for c in g["counts"]], axis=0)
+        total = sum(np.frombuffer(zlib.decompress(c), "<i4").astype(np.int64) for c in g["counts"])
         return pd.DataFrame({"block": g["block"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
 
     counts = np.zeros(1 << bits, np.int64)
@@ -71,6 +73,24 @@ def _levels(sketch: DataFrame, bits: int) -> np.ndarray:
     return np.where(counts > usual, np.minimum(40, 1 + np.log2(np.maximum(counts, 1) / usual).astype(int)), 0).astype(np.uint8)
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, sig = [], []
+            for _, _, data, offsets in chunks(b.column("text")):
+                for s in shingle_sets(data, offsets, size):
+                    out.append(s.view(np.int64))
+                    sig.append(xxhash.xxh3_128_digest(s.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sig0"), pa.array(sig, pa.binary()), _lists(out)], ["node", "sig0", "sig", "toks"])
+
+    return run
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links).
 
@@ -98,9 +118,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
                     k = len(s) - (percent * len(s) + 99) // 100 + MOST
                     # Sets are sorted by hash, so a stable sort by level orders by (level, hash).
                     out.append(s[np.argsort(level[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:k]].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), toks], ["doc_id", "sig", "toks"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), _lists(out)], ["doc_id", "sig", "toks"])
 
     heads = rows.mapInArrow(prefix, "doc_id long, sig binary, toks array<long>")
     # Of a class, the representative's prefix alone goes on (all are equal).
@@ -109,68 +127,65 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = keep(posts.join(lists, "token"))
 
-    def exact(side: str) -> str:
-        return f"CAST(({percent} * {side} + 99) DIV 100 AS BIGINT)"
+    # Each document's l: the least of (entries its prefix meets) * (cost of one + cost of verifying, rarer with each further match).
+    base = F.col("n") - F.expr(f"({percent} * n + 99) DIV 100")
 
-    # 1. Link each list's members to one of like size.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) if percent < 100 else 1.0))
-    banded = shared.withColumn("band", band)
-    hubs = banded.groupBy("token", "band").agg(F.min("node").alias("hub"))
-    stars = banded.join(hubs, ["token", "band"]).where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = keep(stars)
-    members = shared.select("node").distinct()
-    wanted = keep(members.join(classes, "node").select("node", "rep", "sig"))
-    few = wanted.count() <= MOST_BROADCAST
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, sig = [], []
-            for _, _, data, offsets in chunks(b.column("text")):
-                for s in shingle_sets(data, offsets, size):
-                    out.append(s.view(np.int64))
-                    sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sig0"), pa.array(sig, pa.binary()), toks], ["node", "sig0", "sig", "toks"])
+    def cost(l: int) -> Column:
+        met = F.sum(F.when(F.col("pos") < base + l, F.col("df") - 1).otherwise(0))
+        return met * (1 + F.max("n") / (4.0 * l * l))
 
-    names = wanted.select("node", F.col("rep"), F.col("sig").alias("sig0"))
-    found = rows.join(F.broadcast(names) if few else names, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "sig0", "text")
-    sets = keep(found.mapInArrow(whole, "node long, sig0 binary, sig binary, toks array<long>").where("sig = sig0").select("node", "toks").dropDuplicates(["node"]))
+    options = shared.groupBy("node").agg(*[cost(l).alias(f"c{l}") for l in range(1, MOST + 1)], F.max("n").alias("n"), F.count(F.lit(1)).alias("lists"))
+    least = F.least(*[F.col(f"c{l}") for l in range(1, MOST + 1)])
+    # A shingle of the prefix that is in no other document is shared with none: with too many of them a document links with nothing.
+    alone = F.least(F.col("n"), base + MOST) - F.col("lists")
+    options = options.withColumn("alone", alone).where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    chosen = options.select("node", "alone", F.coalesce(*[F.when(F.col(f"c{l}") == least, F.lit(l)) for l in range(1, MOST + 1)]).alias("need"))
+    used = keep(shared.join(chosen, "node").where(F.col("pos") < base + F.col("need")).select("token", "node", "n", "pos", "need", "alone"))
+    like = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    # What can be shared up to this shingle and after it must reach the overlap that the sizes ask for.
+    room = f"{percent + 100} * least(least(pa, pb) + least(na - pa, nb - pb), na - ua, nb - ub) >= {percent} * (na + nb)"
+
+    def enough(met: DataFrame) -> DataFrame:
+        """Pairs of ``met``, a row for each shared shingle, that share as many as the smaller l asks for."""
+        k = met.where(like).where(room).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ka", "kb")).alias("need"))
+        return k.where("k >= need").select("a", "b")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(node, toks) of the documents in ``pairs``, from their whole texts."""
+        names = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node")
+        names = keep(names.select("node", "rep", F.col("sig").alias("sig0")))
+        few = names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        found = rows.join(F.broadcast(names) if few else names, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "sig0", "text")
+        return keep(found.mapInArrow(_sets(size), "node long, sig0 binary, sig binary, toks array<long>").where("sig = sig0").select("node", "toks").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs)
         a = sets.select(F.col("node").alias("a"), F.col("toks").alias("ta"))
         b = sets.select(F.col("node").alias("b"), F.col("toks").alias("tb"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
-        return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
+        return keep(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
 
-    links = keep(verified(stars))
+    # 1. Link each list's members to one of like size.
+    banded = used.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) if percent < 100 else 1.0)))
+    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n", "pos", "need", "alone")).alias("h"))
+    spokes = banded.join(hubs, ["token", "band"]).where("h.node <> node").select(
+        F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa"), F.col("h.need").alias("ka"), F.col("h.alone").alias("ua"),
+        F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("need").alias("kb"), F.col("alone").alias("ub"),
+    )
+    stars = keep(enough(spokes))
+    links = verified(stars)
     first = components(links)
     # 2. Lists that still hold several components: pairs across components that share enough of their prefixes.
-    named = keep(shared.join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("token", "m")
-    left = named.join(mixed, "token")
-    base = F.expr(f"n - {exact('n')}")
-
-    def cost(part: int):
-        met = F.sum(F.when(F.col("pos") < F.col("base") + part, F.col("m") - 1).otherwise(0))
-        return met * (1 + F.max("n") / (8.0 * part))
-
-    options = left.withColumn("base", base).groupBy("node").agg(*[cost(p).alias(f"c{p}") for p in range(1, MOST + 1)])
-    least = F.least(*[F.col(f"c{p}") for p in range(1, MOST + 1)])
-    choice = F.coalesce(*[F.when(F.col(f"c{p}") == least, F.lit(p)) for p in range(1, MOST + 1)])
-    chosen = options.select("node", choice.alias("need"))
-    used = keep(left.join(chosen, "node").withColumn("base", base).where("pos < base + need").select("token", "comp", "node", "n", "pos", "need"))
-    by_comp = used.select("token", "comp").distinct()
+    named = keep(used.join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
+    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    left = keep(named.join(mixed, "token"))
+    by_comp = left.select("token", "comp").distinct()
     x, y = by_comp.withColumnRenamed("comp", "ca"), by_comp.withColumnRenamed("comp", "cb")
     across = x.join(y, "token").where("ca < cb")
-    l = used.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("need").alias("ka"))
-    r = used.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("need").alias("kb"))
-    like = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    # What can still be shared from this shingle on must reach the overlap that the sizes ask for.
-    room = f"{percent + 100} * (least(pa, pb) + 1 + least(na - pa, nb - pb) - 1) >= {percent} * (na + nb)"
-    met = across.join(l, ["token", "ca"]).join(r, ["token", "cb"]).where(like).where(room)
-    enough = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ka", "kb")).alias("need")).where("k >= need").select("a", "b")
-    more = keep(verified(enough.join(stars, ["a", "b"], "left_anti")))
+    l = left.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("need").alias("ka"), F.col("alone").alias("ua"))
+    r = left.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("need").alias("kb"), F.col("alone").alias("ub"))
+    met = across.join(l, ["token", "ca"]).join(r, ["token", "cb"])
+    more = verified(keep(enough(met).join(stars, ["a", "b"], "left_anti")))
     if more.limit(1).count():
         labels = components(links.union(more))
     else:
