@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The largest number of labelled documents to train on, taken by hash; all documents are scored.
-MAX_TRAIN = 6_000
+MAX_TRAIN = 12_000
 FOLDS = 5
 #: A feature must be in so many training documents, and differ by so many standard errors.
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 4.0, 600
