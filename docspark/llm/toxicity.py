@@ -83,29 +83,36 @@ class Chain:
     models: list[Linear] = field(default_factory=list)
 
     @classmethod
-    def train(cls, bags: Iterable[Iterable[str]], labels: np.ndarray, folds: np.ndarray, categories: Sequence[str]) -> Chain:
-        """``labels``: documents by categories, 0 or 1. A category with one class alone gets its prior."""
-        seen: dict[str, int] = {}
-        raw = [np.fromiter((seen.setdefault(f, len(seen)) for f in bag), np.int32) for bag in bags]
-        n_docs = len(raw)
-        flat = np.concatenate(raw) if raw else np.zeros(0, np.int32)
-        counts = np.bincount(flat, minlength=len(seen))
-        place = np.cumsum(counts >= LEAST_DOCS) - 1
-        names = [f for f, i in seen.items() if counts[i] >= LEAST_DOCS]
+    def train(cls, bags: Callable[[], Iterable[Iterable[str]]], labels: np.ndarray, folds: np.ndarray, categories: Sequence[str]) -> Chain:
+        """``bags``: gives the documents' features anew at each call; ``labels``: documents by categories, 0 or 1. A category with one class alone gets its prior."""
+        counts: dict[str, int] = {}
+        for bag in bags():
+            for f in bag:
+                counts[f] = counts.get(f, 0) + 1
+        names = [f for f, n in counts.items() if n >= LEAST_DOCS]
+        del counts
         index = {f: i for i, f in enumerate(names)}
-        del seen
-        where = np.repeat(np.arange(n_docs), [len(c) for c in raw])
-        often = counts[flat] >= LEAST_DOCS
-        where, flat = where[often], place[flat[often]]
+        cols = [np.fromiter((index[f] for f in bag if f in index), np.int32) for bag in bags()]
+        n_docs = len(cols)
+        where = np.repeat(np.arange(n_docs, dtype=np.int32), [len(c) for c in cols])
+        flat = np.concatenate(cols) if cols else np.zeros(0, np.int32)
+        del cols
+
+        def summed(by_doc: np.ndarray) -> np.ndarray:
+            """For each feature, the sum of ``by_doc`` over the documents that have it; block by block."""
+            out = np.zeros(len(names))
+            for lo in range(0, len(flat), 1 << 20):
+                out += np.bincount(flat[lo : lo + (1 << 20)], weights=by_doc[where[lo : lo + (1 << 20)]], minlength=len(names))
+            return out
+
         out, fed = cls(list(categories)), np.zeros((n_docs, 0))
 
         def model(rows: np.ndarray, y: np.ndarray, extra: np.ndarray) -> Linear:
             use = np.zeros(n_docs, bool)
             use[rows] = True
             n1, n0 = max(1, int(y[rows].sum())), max(1, int((1 - y[rows]).sum()))
-            m = use[where]
-            a = np.bincount(flat[m], weights=y[where[m]], minlength=len(names))
-            b = np.bincount(flat[m], minlength=len(names)) - a
+            a = summed(use * y)
+            b = summed(use.astype(float)) - a
             p = (a + b) / (n1 + n0)
             z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
             z[(a + b < LEAST_DOCS) | (a + b >= n1 + n0)] = 0
@@ -117,7 +124,7 @@ class Chain:
             return Linear([names[i] for i in best], w[:k], w[k:-1], float(w[-1]))
 
         def dense(best: np.ndarray, extra: np.ndarray) -> np.ndarray:
-            place = np.full(len(names) + 1, -1)
+            place = np.full(len(names) + 1, -1, np.int32)
             place[best] = np.arange(len(best))
             x = np.zeros((n_docs, len(best) + extra.shape[1] + 1))
             j = place[flat]
@@ -200,7 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     got = both.mapInPandas(bags, f"k {kind['k']}, {', '.join(f'{c} {kind[c]}' for c in cols)}, fold int, words string, style string").toPandas()
     got = got.sort_values(["k", "words"]).drop_duplicates("k").reset_index(drop=True)
     y = np.column_stack([(got[c] == v).to_numpy().astype(int) for c, v in categories.values()]) if len(got) else np.zeros((0, len(categories)), int)
-    sets = (sorted({f for w in words.split() for f in word_features(w)} | set(style.split())) for words, style in zip(got["words"], got["style"], strict=True))
+
+    def sets() -> Iterator[list[str]]:
+        for words, style in zip(got["words"], got["style"], strict=True):
+            yield sorted({f for w in words.split() for f in word_features(w)} | set(style.split()))
+
     return Chain.train(sets, y, got["fold"].to_numpy(), list(categories))
 
 
