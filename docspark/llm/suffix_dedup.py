@@ -8,8 +8,10 @@ digits until groups are single or ``span`` deep:
    digit is those bytes; suffixes alone in their group hold no repeat and leave.
 2. The second digit is all bytes that the windows electing the position cover. Equal groups are
    repeats as a whole, however large; they need one aggregate, not pairs.
-3. Groups of the first digit that the second split in several are sorted to the full depth: each
-   member that is alone, and one of each equal group, lists its windows, and equal ones are the repeats.
+3. In groups of the first digit that the second split in several, each member that is alone and one of
+   each equal group go on. Their windows are cut in bands of ``BANDS[0]`` neighbours: the digit is what
+   all windows of a band have in common, then all that they cover. Bands alone with their digit leave,
+   those equal as a whole are repeats, and the rest are split by the next width, down to single windows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .bytetext import chunks, mix, powers, prefix_sums
 from .common import keep
 
 SPAN, DIGIT = 200, 48
+#: Windows in a band at each further digit; the last must be 1.
+BANDS = (39, 8, 1)
 #: Longer texts are searched in parts that overlap by a window; positions then fit in 24 bits.
 PART = 1 << 22
 #: Ids of so many documents at most are broadcast (about 16 bytes each) to spare the others a shuffle.
@@ -95,7 +99,7 @@ def _hashes(column: pa.Array) -> np.ndarray:
     return np.array([text_hash(data[a:b]) for _, _, data, offsets in chunks(column) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int32)
 
 
-_SUFFIXES = "doc_id long, th int, lo int, n short, kh long, ch long"
+_SUFFIXES = "doc_id long, th int, lo int, n short, p short, kh long, ch long"
 
 
 def _suffixes(span: int):
@@ -111,33 +115,67 @@ def _suffixes(span: int):
                 row = rows[text]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row)), pa.array(hashes[row]), pa.array((lo - offsets[text] + shift[text]).astype(np.int32)), pa.array(n.astype(np.int16)),
-                     pa.array(digit.view(np.int64)), pa.array(np.array(context, _U).view(np.int64))],
-                    ["doc_id", "th", "lo", "n", "kh", "ch"],
+                     pa.array((at - lo).astype(np.int16)), pa.array(digit.view(np.int64)), pa.array(np.array(context, _U).view(np.int64))],
+                    ["doc_id", "th", "lo", "n", "p", "kh", "ch"],
                 )
 
     return run
 
 
-def _windows(span: int):
+_BODY = "doc_id long, th int, lo int, n short, p short, kh long, many byte, body binary"
+
+
+def _bodies(span: int):
+    """Each task of a text with the bytes that its windows cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tasks, hashes = b.column("doc_id"), b.column("tasks"), _hashes(b.column("text"))
+            ids, tasks, hashes = b.column("doc_id").to_pylist(), b.column("tasks"), _hashes(b.column("text"))
             for row0, _, data, offsets in chunks(b.column("text")):
-                view = memoryview(data)
-                for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    row = row0 + i
-                    out = []
+                view, out = memoryview(data), []
+                for row, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), row0):
+                    th = int(hashes[row])
                     for t in tasks[row].as_py():
-                        if t["th"] == hashes[row] and x + t["lo"] + t["n"] + span - 1 <= y:
-                            out += [(t["kh"], xxhash.xxh3_64_intdigest(view[x + s : x + s + span]), s, t["many"]) for s in range(t["lo"], t["lo"] + t["n"])]
-                    if out:
-                        k = len(out)
-                        kh, d, s, many = zip(*out, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([ids[row].as_py()] * k, pa.int64()), pa.array([int(hashes[row])] * k, pa.int32()), pa.array(s, pa.int32()), pa.array(kh, pa.int64()),
-                             pa.array(np.array(d, _U).view(np.int64)), pa.array(many, pa.int8())],
-                            ["doc_id", "th", "s", "kh", "d", "many"],
-                        )
+                        end = x + t["lo"] + t["n"] + span - 1
+                        if t["th"] == th and end <= y:
+                            out.append((ids[row], th, t["lo"], t["n"], t["p"], t["kh"], t["many"], view[x + t["lo"] : end].tobytes()))
+                if out:
+                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int8(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "th", "lo", "n", "p", "kh", "many", "body"])
+
+    return run
+
+
+_BAND = "id long, s short, n short, many byte, core long, ctx long"
+
+
+def _bands(span: int, digit: int, width: int):
+    """Bands of the windows ``s`` to ``s + n - 1`` of a body: hashes of what the windows share and of what they cover.
+
+    Bands are counted from the elected position ``p``, so equal windows lie in bands alike.
+    """
+    mask = (1 << 64) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, s, n, many, p, kh, body in zip(*(b.column(c).to_pylist() for c in ("id", "s", "n", "many", "p", "kh", "body")), strict=True):
+                view, end = memoryview(body), s + n
+                while s < end:
+                    band = (p - s) // width
+                    near = band * width
+                    far = min(near + width - 1, span - digit)
+                    upto = min(end, p - near + 1)
+                    core = xxhash.xxh3_64_intdigest(view[p - near : p - far + span], (kh + band * 0x9E3779B97F4A7C15) & mask)
+                    ctx = xxhash.xxh3_64_intdigest(view[s : upto - 1 + span], (core + p - s) & mask)
+                    out.append((i, s, upto - s, many, core, ctx))
+                    s = upto
+            if out:
+                i, s, n, many, core, ctx = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(i, pa.int64()), pa.array(s, pa.int16()), pa.array(n, pa.int16()), pa.array(many, pa.int8()), pa.array(np.array(core, _U).view(np.int64)), pa.array(np.array(ctx, _U).view(np.int64))],
+                    ["id", "s", "n", "many", "core", "ctx"],
+                )
 
     return run
 
@@ -175,20 +213,31 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, key: str = "doc_id", te
     digits = suffixes.groupBy("kh").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("kh")
     grouped = keep(suffixes.join(digits, "kh", "left_semi"))
     # Second digit.
-    contexts = grouped.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "lo", "n")).alias("r"))
+    contexts = grouped.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "lo", "n", "p")).alias("r"))
     contexts = keep(contexts)
     several = contexts.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh")
     equal = contexts.where("c > 1").select("kh", "ch")
     end = (F.col("lo") + F.col("n") + F.lit(span - 1)).cast("int")
     whole = grouped.join(equal, ["kh", "ch"], "left_semi").select("doc_id", "th", F.col("lo").alias("a"), end.alias("b"))
-    # Full depth for the groups that the second digit split.
-    split = contexts.join(several, "kh", "left_semi").select("kh", (F.col("c") > 1).cast("tinyint").alias("many"), "r.doc_id", "r.th", "r.lo", "r.n")
-    tasks = keep(split.groupBy("doc_id").agg(F.collect_list(F.struct("th", "kh", "lo", "n", "many")).alias("tasks")))
+    # Further digits for the groups that the second split.
+    split = contexts.join(several, "kh", "left_semi").select("kh", (F.col("c") > 1).cast("tinyint").alias("many"), "r.doc_id", "r.th", "r.lo", "r.n", "r.p")
+    tasks = keep(split.groupBy("doc_id").agg(F.collect_list(F.struct("th", "kh", "lo", "n", "p", "many")).alias("tasks")))
     listed = _only(rows, tasks).join(tasks, rows["doc_id"].eqNullSafe(tasks["doc_id"])).select(rows["doc_id"], "text", "tasks")
-    windows = keep(listed.mapInArrow(_windows(span), "doc_id long, th int, s int, kh long, d long, many byte"))
-    found = windows.groupBy("kh", "d").agg(F.sum(F.col("many") + 1).alias("c")).where("c > 1").select("kh", "d")
-    single = windows.where("many = 0").join(found, ["kh", "d"], "left_semi").select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + span).cast("int").alias("b"))
-    cuts = keep(whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("th", "a", "b")).alias("cuts")))
+    bodies = keep(listed.mapInArrow(_bodies(span), _BODY).withColumn("id", F.monotonically_increasing_id()))
+    todo = bodies.select("id", F.lit(0).cast("short").alias("s"), "n", "many", "p", "kh", "body")
+    for width in BANDS:
+        bands = keep(todo.mapInArrow(_bands(span, DIGIT, width), _BAND))
+        same = bands.groupBy("core", "ctx").agg(F.sum(F.col("many") + 1).alias("c"), F.min(F.struct("id", "s", "n")).alias("r"))
+        same = keep(same)
+        equal = same.where("c > 1").select("core", "ctx")
+        found = bands.where("many = 0").join(equal, ["core", "ctx"], "left_semi").join(bodies.select("id", "doc_id", "th", "lo"), "id")
+        at = F.col("lo") + F.col("s")
+        whole = whole.unionByName(found.select("doc_id", "th", at.cast("int").alias("a"), (at + F.col("n") + F.lit(span - 1)).cast("int").alias("b")))
+        if width > 1:
+            several = same.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
+            on = same.join(several, "core", "left_semi").select("r.id", "r.s", "r.n", (F.col("c") > 1).cast("tinyint").alias("many"))
+            todo = on.join(bodies.select("id", "p", "kh", "body"), "id").select("id", "s", "n", "many", "p", "kh", "body")
+    cuts = keep(whole.groupBy("doc_id").agg(F.collect_list(F.struct("th", "a", "b")).alias("cuts")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     if _small(cuts):
         touched = F.broadcast(cuts.select(F.col("doc_id").alias("k")))
