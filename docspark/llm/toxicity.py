@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ MAX_TRAIN = 12_000
 FOLDS = 5
 #: A feature must be in so many training documents, and differ by so many standard errors.
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 4.0, 600
+#: Buckets of the rough count of features, before the exact one.
+BUCKETS = 1 << 23
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>!]")
@@ -69,7 +72,10 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) ->
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        h = np.diag(penalty)
+        for lo in range(0, len(x), 2048):
+            part = x[lo : lo + 2048]
+            h += (part * (p * (1 - p) + 1e-6)[lo : lo + 2048, None]).T @ part
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-5:
@@ -85,10 +91,17 @@ class Chain:
     @classmethod
     def train(cls, bags: Callable[[], Iterable[Iterable[str]]], labels: np.ndarray, folds: np.ndarray, categories: Sequence[str]) -> Chain:
         """``bags``: gives the documents' features anew at each call; ``labels``: documents by categories, 0 or 1. A category with one class alone gets its prior."""
+        # Most features are in one document: hashed counts keep these out of the exact ones.
+        rough = np.zeros(BUCKETS, np.uint16)
+        for bag in bags():
+            at = np.unique(np.fromiter((hash(f) % BUCKETS for f in bag), np.int64))
+            rough[at] += rough[at] < LEAST_DOCS
         counts: dict[str, int] = {}
         for bag in bags():
             for f in bag:
-                counts[f] = counts.get(f, 0) + 1
+                if rough[hash(f) % BUCKETS] >= LEAST_DOCS:
+                    counts[f] = counts.get(f, 0) + 1
+        del rough
         names = [f for f, n in counts.items() if n >= LEAST_DOCS]
         del counts
         index = {f: i for i, f in enumerate(names)}
@@ -204,15 +217,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
             yield pd.DataFrame({"k": b["k"], **{c: b[c] for c in cols}, "fold": [hash_text(t) % FOLDS for t in b["t"]], "words": [" ".join(sorted(p[0])) for p in parts], "style": [" ".join(p[1]) for p in parts]})
 
     kind = dict(picked.dtypes)
-    got = both.mapInPandas(bags, f"k {kind['k']}, {', '.join(f'{c} {kind[c]}' for c in cols)}, fold int, words string, style string").toPandas()
-    got = got.sort_values(["k", "words"]).drop_duplicates("k").reset_index(drop=True)
-    y = np.column_stack([(got[c] == v).to_numpy().astype(int) for c, v in categories.values()]) if len(got) else np.zeros((0, len(categories)), int)
+    got = both.mapInPandas(bags, f"k {kind['k']}, {', '.join(f'{c} {kind[c]}' for c in cols)}, fold int, words string, style string").toArrow()
+    order = pc.sort_indices(got, [("k", "ascending"), ("words", "ascending")]).to_numpy()
+    keys = got["k"].to_numpy()[order]
+    order = order[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else order
+    y = np.column_stack([(got[c].to_numpy()[order] == v).astype(int) for c, v in categories.values()])
 
     def sets() -> Iterator[list[str]]:
-        for words, style in zip(got["words"], got["style"], strict=True):
+        for i in order:
+            words, style = got["words"][i].as_py(), got["style"][i].as_py()
             yield sorted({f for w in words.split() for f in word_features(w)} | set(style.split()))
 
-    return Chain.train(sets, y, got["fold"].to_numpy(), list(categories))
+    return Chain.train(sets, y, got["fold"].to_numpy()[order], list(categories))
 
 
 def hash_text(text: str | None) -> int:
