@@ -165,9 +165,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
         both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), (F.size("ta") + F.size("tb")).alias("s"))
         return keep(both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
 
-    # 1. Link each list's members to one of like size.
+    # 1. Link each list's members to the one of like size with the fewest shingles of its own, the likest to all.
     banded = used.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) if percent < 100 else 1.0)))
-    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n", "pos", "need", "alone")).alias("h"))
+    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("alone", "node", "n", "pos", "need")).alias("h"))
     spokes = banded.join(hubs, ["token", "band"]).where("h.node <> node").select(
         F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa"), F.col("h.need").alias("ka"), F.col("h.alone").alias("ua"),
         F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("need").alias("kb"), F.col("alone").alias("ub"),
