@@ -64,13 +64,18 @@ def _levels(sketch: DataFrame, bits: int) -> np.ndarray:
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c), "<i4").astype(np.int64) for c in g["counts"])
-        return pd.DataFrame({"block": g["block"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
+        return pd.DataFrame({"block": g["block"].iloc[:1], "counts": [np.minimum(total, np.iinfo(np.int32).max).astype("<i4").tobytes()]})
 
-    counts = np.zeros(1 << bits, np.int64)
+    counts = np.zeros(1 << bits, np.int32)
     for r in sketch.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        counts[r.block * SKETCH_BLOCK : r.block * SKETCH_BLOCK + len(r.counts) // 8] = np.frombuffer(r.counts, "<i8")
+        counts[r.block * SKETCH_BLOCK : r.block * SKETCH_BLOCK + len(r.counts) // 4] = np.frombuffer(r.counts, "<i4")
     usual = max(4.0, 1.5 * float(np.median(counts)))
-    return np.where(counts > usual, np.minimum(40, 1 + np.log2(np.maximum(counts, 1) / usual).astype(int)), 0).astype(np.uint8)
+    levels = np.zeros(len(counts), np.uint8)
+    high = np.flatnonzero(counts > usual)
+    for lo in range(0, len(high), SKETCH_BLOCK):
+        at = high[lo : lo + SKETCH_BLOCK]
+        levels[at] = np.minimum(40, 1 + np.log2(counts[at] / usual).astype(int))
+    return levels
 
 
 def _sets(size: int):
