@@ -6,14 +6,16 @@ document picks its own l, from 1 to ``MOST``, by the cost its candidates would h
 meets more lists but demands more shared shingles. Pairs with enough of them are verified on whole sets.
 
 Groups of copies do not become pairs: documents with equal sets are one class from the start, each
-shingle's list is first linked to one member of like size, and only lists that still join classes
-of different components go on to the pairwise search.
+shingle's list is first linked to one member of like size, and of the lists that still join classes
+of different components only short ones pair them. A long one, of near copies that mostly do not link, takes a
+hub again and goes on with the shingles that its members have beyond the hub, which few of them share.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ SKETCH_BITS, SKETCH_LEAST, SKETCH_LOAD = 24, 16, 32
 SKETCH_BLOCK = 1 << 14
 #: So many candidates at most are broadcast (16 bytes each) to find their texts.
 MOST_BROADCAST = 1_000_000
+#: Lists of so many members at most pair them all; after so many turns what is left does, whatever its length.
+SHORT, TURNS = 32, 6
 
 
 def _scan(size: int, bits: int):
@@ -78,13 +82,19 @@ def _levels(sketch: DataFrame, bits: int) -> np.ndarray:
     return levels
 
 
-def _sets(size: int):
+def _rare_first(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A set in the order of prefixes. Sets are sorted by hash, so a stable sort by level orders by (level, hash)."""
+    bits = len(level).bit_length() - 1
+    return s[np.argsort(level[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")].view(np.int64)
+
+
+def _sets(size: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, sig = [], []
             for _, _, data, offsets in chunks(b.column("text")):
                 for s in shingle_sets(data, offsets, size):
-                    out.append(s.view(np.int64))
+                    out.append(_rare_first(s, levels.value))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sig0"), pa.array(sig, pa.binary()), _lists(out)], ["node", "sig0", "sig", "toks"])
 
@@ -96,6 +106,47 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The lists whose members are of several components."""
+    several = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+    return lists.select("list", "rest", "node", "n", "alone", "comp", *[c for c in ("pos", "need") if c in lists.columns]).join(several, "list")
+
+
+def _pairs(lists: DataFrame, facts: Sequence[str]) -> DataFrame:
+    """Pairs a < b of members of a list, of different components, with the ``facts`` of both."""
+
+    def side(e: str) -> DataFrame:
+        return lists.select("list", F.col("node").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ("comp", *facts)])
+
+    return side("a").join(side("b"), "list").where("a < b AND comp_a <> comp_b")
+
+
+def _apart(spokes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists that hold, for all pairs of members of a hub that link and that the hub does not connect, both members; and the links of hubs.
+
+    If x and y link, they share percent / (100 + percent) of the sum of their sizes. As far as the hub has fewer
+    shingles in common with x, or with y, than that, they share others: those are searched by prefixes of what
+    each has beyond the hub. A list of its own (``rest``) holds members for which the hub has enough.
+    """
+    hub, own = sets.select(F.col("node").alias("hub"), F.col("toks").alias("th")), sets.select("node", F.col("toks").alias("tn"))
+    both = spokes.join(hub, "hub").join(own, "node").withColumn("beyond", F.array_except("tn", "th")).drop("th", "tn")
+    both = both.withColumn("i", F.col("n") - F.size("beyond")).withColumn("linked", F.expr(f"{percent + 100} * i >= {percent} * (n + nh)"))
+    # A partner shares at least ``percent`` of the larger set, so as many as are not the hub's lie beyond it.
+    must = F.expr(f"greatest(1, ({percent} * n + 99) DIV 100 - i)")
+    both = both.withColumn("beyond", F.slice("beyond", F.lit(1), F.greatest(F.lit(0), F.size("beyond") - must + 1).cast("int")))
+    both = keep(both.withColumn("comp", F.when(F.col("linked"), F.col("ch")).otherwise(F.col("comp"))))
+    prefixes = both.select(F.expr("hub"), F.explode("beyond").alias("t"), "node", "n", "alone", "comp")
+    lists = prefixes.select(F.xxhash64("hub", "t").alias("list"), F.lit(False).alias("rest"), "node", "n", "alone", "comp")
+    # x and y both have enough of the hub only if n(y) <= reach(x) and n(x) <= reach(y); one of them does not link with the hub.
+    reach = F.expr(f"{percent + 100} * i DIV {percent} - n")
+    facts = both.select("hub", "node", "n", "alone", "comp", "linked", reach.alias("reach"))
+    out = F.when(~F.col("linked"), F.col("n")), F.when(~F.col("linked"), F.col("reach"))
+    ends = facts.groupBy("hub").agg(F.min("n").alias("least"), F.min(out[0]).alias("least_out"), F.max(out[1]).alias("most_out"))
+    near = facts.join(ends, "hub").where("(NOT linked AND reach >= least) OR (n <= most_out AND reach >= least_out)")
+    rest = near.select(F.xxhash64("hub").alias("list"), F.lit(True).alias("rest"), "node", "n", "alone", "comp")
+    return keep(_mixed(lists.union(rest))), both.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links).
 
@@ -114,15 +165,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     classes = keep(known.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
         for b in batches:
             out, sig = [], []
             for _, _, data, offsets in chunks(b.column("text")):
                 for s in shingle_sets(data, offsets, size):
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                     k = len(s) - (percent * len(s) + 99) // 100 + MOST
-                    # Sets are sorted by hash, so a stable sort by level orders by (level, hash).
-                    out.append(s[np.argsort(level[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:k]].view(np.int64))
+                    out.append(_rare_first(s, levels.value)[:k])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), _lists(out)], ["doc_id", "sig", "toks"])
 
     heads = rows.mapInArrow(prefix, "doc_id long, sig binary, toks array<long>")
@@ -146,13 +195,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     options = options.withColumn("alone", alone).where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
     chosen = options.select("node", "alone", F.coalesce(*[F.when(F.col(f"c{l}") == least, F.lit(l)) for l in range(1, MOST + 1)]).alias("need"))
     used = keep(shared.join(chosen, "node").where(F.col("pos") < base + F.col("need")).select("token", "node", "n", "pos", "need", "alone"))
-    like = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    like = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     # What can be shared up to this shingle and after it must reach the overlap that the sizes ask for.
-    room = f"{percent + 100} * least(least(pa, pb) + least(na - pa, nb - pb), na - ua, nb - ub) >= {percent} * (na + nb)"
+    room = f"{percent + 100} * least(least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b), n_a - alone_a, n_b - alone_b) >= {percent} * (n_a + n_b)"
 
     def enough(met: DataFrame) -> DataFrame:
         """Pairs of ``met``, a row for each shared shingle, that share as many as the smaller l asks for."""
-        k = met.where(like).where(room).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ka", "kb")).alias("need"))
+        k = met.where(like).where(room).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("need_a", "need_b")).alias("need"))
         return k.where("k >= need").select("a", "b")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -161,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
         names = keep(names.select("node", "rep", F.col("sig").alias("sig0")))
         few = names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
         found = rows.join(F.broadcast(names) if few else names, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "sig0", "text")
-        return keep(found.mapInArrow(_sets(size), "node long, sig0 binary, sig binary, toks array<long>").where("sig = sig0").select("node", "toks").dropDuplicates(["node"]))
+        return keep(found.mapInArrow(_sets(size, levels), "node long, sig0 binary, sig binary, toks array<long>").where("sig = sig0").select("node", "toks").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs)
@@ -173,24 +222,33 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     # 1. Link each list's members to the one of like size with the fewest shingles of its own, the likest to all.
     banded = used.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) if percent < 100 else 1.0)))
     hubs = banded.groupBy("token", "band").agg(F.min(F.struct("alone", "node", "n", "pos", "need")).alias("h"))
+    facts = ("n", "pos", "need", "alone")
     spokes = banded.join(hubs, ["token", "band"]).where("h.node <> node").select(
-        F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("pa"), F.col("h.need").alias("ka"), F.col("h.alone").alias("ua"),
-        F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("need").alias("kb"), F.col("alone").alias("ub"),
-    )
+        F.col("h.node").alias("a"), F.col("node").alias("b"), *[F.col(f"h.{c}").alias(f"{c}_a") for c in facts], *[F.col(c).alias(f"{c}_b") for c in facts]
+    )
     stars = keep(enough(spokes))
     links = verified(stars)
     first = components(links)
-    # 2. Lists that still hold several components: pairs across components that share enough of their prefixes.
-    named = keep(used.join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    left = keep(named.join(mixed, "token"))
-    by_comp = left.select("token", "comp").distinct()
-    x, y = by_comp.withColumnRenamed("comp", "ca"), by_comp.withColumnRenamed("comp", "cb")
-    across = x.join(y, "token").where("ca < cb")
-    l = left.select("token", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("need").alias("ka"), F.col("alone").alias("ua"))
-    r = left.select("token", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("need").alias("kb"), F.col("alone").alias("ub"))
-    met = across.join(l, ["token", "ca"]).join(r, ["token", "cb"])
-    more = verified(keep(enough(met).join(stars, ["a", "b"], "left_anti")))
+    # 2. Lists that still hold several components: short ones pair their members, long ones go by a hub.
+    named = used.join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    now = keep(_mixed(named.withColumnRenamed("token", "list").withColumn("rest", F.lit(False))))
+    asked, more = [], []
+    for turn in range(TURNS):
+        long = now.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("list")
+        last = turn == TURNS - 1 or not long.limit(1).count()
+        short = now if last else now.join(long, "list", "left_anti")
+        asked.append(keep(enough(_pairs(short, facts)) if turn == 0 else _pairs(short, ["n"]).where(like).select("a", "b")))
+        if last:
+            break
+        hub = F.when(F.col("rest"), F.struct(F.col("n").alias("k"), F.col("alone").alias("k2"), "node", "n", "comp"))
+        hub = hub.otherwise(F.struct(F.col("alone").alias("k"), F.col("n").alias("k2"), "node", "n", "comp"))
+        hubs = now.join(long, "list").groupBy("list").agg(F.min(hub).alias("h"))
+        spokes = now.join(hubs, "list").where("h.node <> node")
+        spokes = keep(spokes.select(F.col("h.node").alias("hub"), F.col("h.n").alias("nh"), F.col("h.comp").alias("ch"), "node", "n", "alone", "comp").dropDuplicates(["hub", "node"]))
+        now, linked = _apart(spokes, sets_of(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b"))), percent)
+        more.append(linked)
+    pairs = reduce(DataFrame.union, asked).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = reduce(DataFrame.union, [verified(keep(pairs)), *more])
     if more.limit(1).count():
         labels = components(links.union(more))
     else:

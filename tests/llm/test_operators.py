@@ -44,23 +44,51 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t)
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_join(docs, empty, size, percent):
+def linked_by_brute_force(docs, size, percent):
     sets = {}
     for i, t in rows_of(docs):
         w = words(t.lower())
         sets[i] = {tuple(w[j : j + size]) for j in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
     label = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, size=size, percent=percent).collect()}
-    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def linked(docs, size, percent):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, size=size, percent=percent).collect()}
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join(docs, empty, size, percent):
+    assert linked(docs, size, percent) == linked_by_brute_force(docs, size, percent)
     assert jaccard_join.near_duplicates(empty, size=size, percent=percent).count() == 0
 
 
+@pytest.mark.parametrize(("short", "turns"), [(1, 6), (3, 2)])
+def test_jaccard_join_goes_by_hubs(spark, monkeypatch, short, turns):
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "TURNS", turns)
+    rng = np.random.default_rng(17)
+    made = []
+    for _ in range(3):
+        base = [str(x) for x in rng.integers(0, 9000, 160)]
+        edits = [(int(at), str(x)) for at, x in zip(rng.integers(0, 160, 8), rng.integers(0, 9000, 8), strict=True)]
+        for _ in range(60):  # near copies around the limit: own edits, edits that several share, cut ends
+            t = list(base)
+            for at, x in [edits[int(j)] for j in rng.integers(0, 8, rng.integers(0, 5))]:
+                t[at] = x
+            for at in rng.integers(0, 160, rng.integers(0, 6)):
+                t[at] = str(rng.integers(9000, 99000))
+            made.append(" ".join(t[: 160 - int(rng.integers(0, 20)) * int(rng.integers(0, 2))]))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    want = linked_by_brute_force(frame, 3, 90)
+    assert 3 < len({c for _, c in want.values()}) < len(made)
+    assert linked(frame, 3, 90) == want
+
+
 def test_packing(docs, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
