@@ -131,18 +131,21 @@ class Chain:
             z[(a + b < LEAST_DOCS) | (a + b >= n1 + n0)] = 0
             best = np.argsort(-np.abs(z), kind="stable")[:MOST_FEATURES]
             best = best[np.abs(z[best]) >= LEAST_Z]
-            x = dense(best, extra)
-            w = _fit(x[rows], y[rows])
+            w = _fit(dense(best, extra, rows), y[rows])
             k = len(best)
             return Linear([names[i] for i in best], w[:k], w[k:-1], float(w[-1]))
 
-        def dense(best: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        def dense(best: np.ndarray, extra: np.ndarray, rows: np.ndarray) -> np.ndarray:
             place = np.full(len(names) + 1, -1, np.int32)
             place[best] = np.arange(len(best))
-            x = np.zeros((n_docs, len(best) + extra.shape[1] + 1))
-            j = place[flat]
-            x[where[j >= 0], j[j >= 0]] = 1
-            x[:, len(best) : -1] = extra
+            line = np.full(n_docs, -1, np.int32)
+            line[rows] = np.arange(len(rows))
+            x = np.zeros((len(rows), len(best) + extra.shape[1] + 1))
+            for lo in range(0, len(flat), 1 << 20):
+                i, j = line[where[lo : lo + (1 << 20)]], place[flat[lo : lo + (1 << 20)]]
+                both = (i >= 0) & (j >= 0)
+                x[i[both], j[both]] = 1
+            x[:, len(best) : -1] = extra[rows]
             x[:, -1] = 1
             return x
 
@@ -162,8 +165,7 @@ class Chain:
                     oof[held] = _logit(np.array([y.mean()]))[0]
                     continue
                 m = model(rows, y, fed)
-                x = dense(np.array([index[f] for f in m.names], np.int64), fed)
-                oof[held] = x[held] @ np.concatenate([m.weights, m.chain, [m.bias]])
+                oof[held] = dense(np.array([index[f] for f in m.names], np.int64), fed, held) @ np.concatenate([m.weights, m.chain, [m.bias]])
             out.models.append(model(np.arange(n_docs), y, fed))
             fed = np.column_stack([fed, np.clip(oof, -9, 9)])
         return out
