@@ -88,6 +88,14 @@ def _rare_first(s: np.ndarray, level: np.ndarray) -> np.ndarray:
     return s[np.argsort(level[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")].view(np.int64)
 
 
+def _place(prefix: np.ndarray, level: np.ndarray) -> int:
+    """Where the order of prefixes has the last shingle of one, to the last 7 bits of its hash; -1 for none."""
+    if not len(prefix):
+        return -1
+    h = int(prefix[-1]) & 0xFFFFFFFFFFFFFFFF
+    return int(level[h >> (65 - len(level).bit_length())]) << 57 | h >> 7
+
+
 def _sets(size: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,7 +117,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _mixed(lists: DataFrame) -> DataFrame:
     """The lists whose members are of several components."""
     several = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    return lists.select("list", "rest", "node", "n", "alone", "comp", *[c for c in ("pos", "need") if c in lists.columns]).join(several, "list")
+    return lists.select("list", "rest", "node", "n", "alone", "comp", *[c for c in ("pos", "need", "last") if c in lists.columns]).join(several, "list")
 
 
 def _pairs(lists: DataFrame, facts: Sequence[str]) -> DataFrame:
@@ -166,20 +174,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, sig = [], []
+            out, sig, last = [], [], []
             for _, _, data, offsets in chunks(b.column("text")):
                 for s in shingle_sets(data, offsets, size):
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                     k = len(s) - (percent * len(s) + 99) // 100 + MOST
                     out.append(_rare_first(s, levels.value)[:k])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), _lists(out)], ["doc_id", "sig", "toks"])
+                    last.append(_place(out[-1], levels.value))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), _lists(out), pa.array(last, pa.int64())], ["doc_id", "sig", "toks", "last"])
 
-    heads = rows.mapInArrow(prefix, "doc_id long, sig binary, toks array<long>")
+    heads = rows.mapInArrow(prefix, "doc_id long, sig binary, toks array<long>, last long")
     # Of a class, the representative's prefix alone goes on (all are equal).
     mine = heads.join(classes, "sig").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    posts = keep(mine.select("node", "n", F.posexplode("toks").alias("pos", "token")))
+    posts = keep(mine.select("node", "n", "last", F.posexplode("toks").alias("pos", "token")))
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = keep(posts.join(lists, "token"))
+    shared = keep(posts.drop("last").join(lists, "token"))
 
     # Each document's l: the least of (entries its prefix meets) * (cost of one + cost of verifying, rarer with each further match).
     base = F.col("n") - F.expr(f"({percent} * n + 99) DIV 100")
@@ -190,14 +199,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
 
     options = shared.groupBy("node").agg(*[cost(l).alias(f"c{l}") for l in range(1, MOST + 1)], F.max("n").alias("n"), F.count(F.lit(1)).alias("lists"))
     least = F.least(*[F.col(f"c{l}") for l in range(1, MOST + 1)])
-    # A shingle of the prefix that is in no other document is shared with none: with too many of them a document links with nothing.
-    alone = F.least(F.col("n"), base + MOST) - F.col("lists")
-    options = options.withColumn("alone", alone).where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    chosen = options.select("node", "alone", F.coalesce(*[F.when(F.col(f"c{l}") == least, F.lit(l)) for l in range(1, MOST + 1)]).alias("need"))
-    used = keep(shared.join(chosen, "node").where(F.col("pos") < base + F.col("need")).select("token", "node", "n", "pos", "need", "alone"))
+    # Shingles of the prefix that are in no other prefix. Another document may still hold them beyond its own.
+    options = options.withColumn("alone", F.least(F.col("n"), base + MOST) - F.col("lists")).join(posts.where("pos = 0").select("node", "last"), "node")
+    chosen = options.select("node", "alone", "last", F.coalesce(*[F.when(F.col(f"c{l}") == least, F.lit(l)) for l in range(1, MOST + 1)]).alias("need"))
+    used = keep(shared.join(chosen, "node").where(F.col("pos") < base + F.col("need")).select("token", "node", "n", "pos", "need", "alone", "last"))
     like = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    # What can be shared up to this shingle and after it must reach the overlap that the sizes ask for.
-    room = f"{percent + 100} * least(least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b), n_a - alone_a, n_b - alone_b) >= {percent} * (n_a + n_b)"
+    # What can be shared up to this shingle and after it must reach the overlap that the sizes ask for. Of two prefixes, the one
+    # that ends first in the order of shingles is compared in full: what it alone holds stands nowhere in the other document.
+    most = "CASE WHEN last_a < last_b THEN n_a - alone_a WHEN last_b < last_a THEN n_b - alone_b ELSE n_a END"
+    room = f"{percent + 100} * least(least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b), {most}) >= {percent} * (n_a + n_b)"
 
     def enough(met: DataFrame) -> DataFrame:
         """Pairs of ``met``, a row for each shared shingle, that share as many as the smaller l asks for."""
@@ -221,8 +231,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
 
     # 1. Link each list's members to the one of like size with the fewest shingles of its own, the likest to all.
     banded = used.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) if percent < 100 else 1.0)))
-    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("alone", "node", "n", "pos", "need")).alias("h"))
-    facts = ("n", "pos", "need", "alone")
+    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("alone", "node", "n", "pos", "need", "last")).alias("h"))
+    facts = ("n", "pos", "need", "alone", "last")
     spokes = banded.join(hubs, ["token", "band"]).where("h.node <> node").select(
         F.col("h.node").alias("a"), F.col("node").alias("b"), *[F.col(f"h.{c}").alias(f"{c}_a") for c in facts], *[F.col(c).alias(f"{c}_b") for c in facts]
     )

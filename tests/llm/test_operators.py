@@ -89,6 +89,23 @@ def test_jaccard_join_goes_by_hubs(spark, monkeypatch, short, turns):
     assert linked(frame, 3, 90) == want
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_jaccard_join_of_texts_that_hold_others(spark, percent):
+    rng = np.random.default_rng(29)
+    made = []
+    for i in range(240):  # a text, and the same with a footer, a heading or a passage more, exactly at the limit or just above
+        n = int(rng.integers(3, 10)) * 10
+        more = n * 100 // percent - n - int(rng.integers(0, 2))
+        body = [f"w{i}x{j}" for j in range(n + 2)]
+        extra = [f"e{i}x{j}" for j in range(more)]
+        longer = body + extra if i % 3 == 0 else extra + body if i % 3 == 1 else body[: n // 2] + extra[:-2] + body[n // 2 :]
+        made += [" ".join(body), " ".join(longer)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    want = linked_by_brute_force(frame, 3, percent)
+    assert sum(i != c for i, (_, c) in want.items()) >= 150
+    assert linked(frame, 3, percent) == want
+
+
 def test_packing(docs, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
