@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.llm import jaccard_join, mixing, packing, secrets, toxicity
 from docspark.llm.common import keep, read_table
 
-#: So many removed ids at most are broadcast (about 16 bytes each).
+#: So many removed rows at most are broadcast (about 16 bytes each).
 MOST_BROADCAST = 8_000_000
 
 
@@ -20,14 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group at 0.8 over five words; rows that share an id are one document."""
-    found = keep(jaccard_join.near_duplicates(docs, size=5, percent=80))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    """One row of each group at 0.8 over five words: that with the smallest id, a null id last. Ids may be null or shared; rows without words stay."""
+    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = keep(jaccard_join.near_duplicates(rows, size=5, percent=80, key="__row")).select(F.col("doc_id").alias("__row"), "component_id")
+    several = found.where("__row <> component_id").select("component_id").distinct()
+    ids = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", F.xxhash64("text").alias("h"), "__row").alias("id"))
+    members = keep(found.join(several, "component_id", "left_semi").join(ids, "__row"))
+    first = members.groupBy("component_id").agg(F.min("id").alias("first"))
+    gone = members.join(first, "component_id").where("__row <> first.__row").select("__row")
     few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

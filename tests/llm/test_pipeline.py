@@ -20,3 +20,13 @@ def test_stages_keep_columns_and_effects(spark, tmp_path):
         if name == "near_duplicates":
             assert {100} == {r[0] for r in before.select("doc_id").subtract(docs.select("doc_id")).collect()}
     assert docs.count() > 0
+
+
+def test_near_duplicates_are_told_by_row_not_by_id(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(5, text(0)), (None, text(0) + " tail"), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(0)), (9, text(5)), (3, text(5)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    want = [(5, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (None, None), (None, "")]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
