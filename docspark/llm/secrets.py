@@ -1,6 +1,7 @@
 """Secret scans: pattern candidates, false positives removed by a random forest, all in the JVM.
 
-Candidates are long runs of key characters with a digit. The forest looks at a candidate's length,
+Candidates are long runs of key characters with a digit, and shorter ones or ones without a digit
+after a secret word and a sign. The forest looks at a candidate's length,
 its character transitions, how much of it dictionary words cover, whether it is part of a path, and
 the words beside it. It is trained by Spark's own learner on a bounded table of labelled findings and
 then written out as SQL expressions, so scanning is one pass of expressions inside each row: no
@@ -19,15 +20,19 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-_KEY = r"A-Za-z0-9+/_=\-"
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_=\-]*[0-9])[{_KEY}]{{16,}}"
+_KEY = r"A-Za-z0-9+/_\-"
 LEFT, RIGHT = 60, 20
 #: A word is in the dictionary if it makes up this share of the corpus, so at most 2,000 can be.
 WORD_SHARE = 0.0005
 #: The dictionary's part that no corpus need have.
 WORDS = "user name file path test data list item view page node type base code main util model index image table event class string object number server client config service controller handler manager factory version release update module package example sample placeholder changeme your here insert"
-_SECRET = r"(?i)token|secret|passw|passphrase|pwd|api.?key|access.?key|private|credential|bearer|auth"
+_SECRET = r"(?i)token|secret|passw|passphrase|pwd|api.?key|access.?key|private|credential|bearer|auth(?!ors?(?![a-z]))"
 _PUBLIC = r"(?i)sha|commit|md5|hash|checksum|digest|uuid|guid|revision|\brev\b|version|etag|isbn|phone|card|account|order|invoice|build|\bid\b|trace|session.?id|color|image"
+#: What may stand between a name and its value.
+_SIGN = r"[\"']?\s{0,2}(?:=>|:=|[=:])\s{0,2}[\"']?"
+_NAMED = rf"(?<=[=:>]\s{{0,2}}[\"']?)(?<=(?i:{_SECRET[4:]})[A-Za-z0-9_\-]{{0,16}}{_SIGN})|(?<=(?i:bearer)\s{{1,2}})"
+#: A long run of key characters with a digit, or any run of eight after a secret word and a sign; '=' only ends one, as padding.
+CANDIDATE = rf"(?<![{_KEY}])(?:(?=[A-Za-z+/_\-]*[0-9])[{_KEY}]{{16,}}+|(?=[{_KEY}]{{8}})(?:{_NAMED})[{_KEY}]{{8,}}+)(?:={{1,2}}(?![{_KEY}=]))?"
 FEATURES = ["length", "transitions", "digits", "upper", "hexadecimal", "distinct", "covered", "path", "secret_word", "public_word", "assigned", "quoted"]
 TREES, DEPTH, SEED = 15, 6, 7
 #: The largest number of labelled findings to train on.
@@ -97,6 +102,9 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
     path = F.concat(word(25), F.lit("/"), word(26), F.lit("/"), word(27), F.lit("_"), word(28), draw(29, 1000).cast("string"))
     label_word = pick(30, "commit ", "sha256: ", "md5 = ", "checksum: ", "revision ", "uuid: ", "build ", "etag: \"", "trace id ", "hash=", "digest ", "")
     dummy = F.concat(pick(31, "YOUR_API_KEY_HERE_", "xxxxxxxxxxxxxxxxxxxx", "CHANGEME_PLACEHOLDER_", "insert-your-token-here-", "00000000000000000000", "example_sample_token_"), draw(32, 10).cast("string"))
+    lengthy = [w for w in WORDS.split() if len(w) > 3]
+    made = F.concat(*[pick(i, "the", "mon", "ter", "lin", "son", "ra", "re", "den", "chi", "val", "ous", "ble", "do", "qui") for i in (64, 65, 66, 67)])
+    plain = F.when(draw(62, 2) == 0, F.concat(pick(59, *lengthy), pick(60, "", "_", "-"), pick(61, *lengthy))).when(draw(63, 2) == 0, F.initcap(made)).otherwise(made)
     kinds = [  # left, candidate, right, label
         (F.concat(key, sign), real, close, 1),
         (F.concat(word(33), F.lit(" "), key, sign), real, F.concat(close, F.lit(" "), word(34)), 1),
@@ -108,6 +116,9 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         (F.concat(word(48), F.lit(" "), pick(49, "", "class ", "call ", "import ")), name, pick(50, " ", "(", ".", ";"), 0),
         (pick(51, "https://www.", "/usr/", "see ", "./", "C:\\", "http://x."), path, pick(52, ".html", ".py", " ", "/"), 0),
         (F.concat(key, sign), dummy, close, 0),
+        (F.concat(key, sign), F.substring(base(52, 15), F.lit(1), 8 + draw(53, 8)), close, 1),
+        (F.concat(key, sign), F.concat(F.translate(F.initcap(F.concat(word(54), word(55))), "oaei", "0431"), F.lpad(draw(56, 10_000).cast("string"), 4, "0"), pick(57, "x", "Qz", "xyzQQ1")), close, 1),
+        (F.concat(pick(58, "token", "password", "secret", "credentials", "auth", "private"), sign), plain, close, 0),
     ]
     which = F.pmod(F.col("id"), F.lit(len(kinds)))
 
@@ -176,7 +187,11 @@ def find(text: Column, trees: list[str], words: Column) -> Column:
 
     def each(pieces: Column, cands: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            before, after = F.substring(F.get(pieces, i), -LEFT, LEFT), F.substring(F.get(pieces, i + 1), 1, RIGHT)
+            piece = F.get(pieces, i)
+            # A name with a digit may be a candidate too: it stays beside the value that a sign gives it.
+            named = F.when(F.length(piece) <= 8, F.concat(F.get(cands, i - 1), piece))
+            before = F.substring(F.when(named.rlike(rf"^[{_KEY}]+{_SIGN}$"), named).otherwise(piece), -LEFT, LEFT)
+            after = F.substring(F.get(pieces, i + 1), 1, RIGHT)
             return F.struct(c.alias("candidate"), let(features(c, before, after, words), lambda f: probability(trees, f)).alias("p"))
 
         return F.transform(cands, one)

@@ -282,3 +282,21 @@ def test_forest_on_held_out_findings(spark):
     test = all_.where("k = 0").select("label", secrets.features(F.col("candidate"), F.col("left"), F.col("right"), words_).alias("f"))
     right = test.select(((secrets.probability(trees, F.col("f")) >= 0.5).cast("int") == F.col("label")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right >= 0.95
+
+
+def test_secrets_without_quotes(spark):
+    key, word = hashlib.sha1(b"k").hexdigest(), "Tr0ub4dor3xyzQQ1"
+    lines = [f"export AWS_SECRET_ACCESS_KEY={key}", f"password={word} omega", f"see https://x.org/a?token={key}&b=1", f"API_KEY_2={key}", f'APP_AUTH_TOKEN_NO_2="{key}"', "passwd=h7Qz9x2K", f"commit={key}", "author: Theodore wrote", "password: required here", "token_type=configuration"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    trees, words_ = secrets.model(df)
+    clean = [r.text for r in secrets.redact(df, trees, words_).orderBy("doc_id").collect()]
+    assert clean == [x if i > 5 else x.replace(key, "[SECRET]").replace(word, "[SECRET]").replace("h7Qz9x2K", "[SECRET]") for i, x in enumerate(lines)]
+
+
+def test_forest_on_whole_lines(spark):
+    words_ = F.split(F.lit(secrets.WORDS), " ")
+    all_ = secrets.labelled_findings(spark, 2600).withColumn("k", F.pmod(F.xxhash64("candidate"), F.lit(4)))
+    trees = secrets.train(all_.where("k > 0").drop("k"), words_)
+    found = secrets.find(F.concat("left", "candidate", "right"), trees, words_)
+    rows = all_.where("k = 0").select("candidate", "label", F.transform(F.filter(found, lambda x: x["p"] >= 0.5), lambda x: x["candidate"]).alias("got")).collect()
+    assert sum(r.got == [r.candidate] * r.label for r in rows) >= 0.95 * len(rows)
