@@ -30,13 +30,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.full(size, base, _U)
             a[0] = 1
             made.append(np.multiply.accumulate(a))
-        if size > 1 << 23:  # only a very long text: do not keep these
+        if size > 1 << 20:  # only a long text: do not keep these
             return made[0], made[1]
         _powers = made[0], made[1]
     return _powers
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of texts of about ``most`` bytes; null texts are empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +15,33 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Intermediate tables need no marker file, and on a mounted folder no checksum files beside the pages' own: each
+#: such file costs a process that the JVM forks to set its permissions. Other file systems do not read the last two.
+_PLAIN = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (one machine, as in tests) a temporary folder takes its place.
+    Only where that is unset on one machine, as in tests, a temporary folder takes its place; on a
+    cluster executors would not see each other's files there, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not one_machine(spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="docspark-")
@@ -40,10 +55,56 @@ def keep(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Tasks after a shuffle as large as the session's advisory size, not one a core: a small table is one file.
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        df.write.options(**_PLAIN).parquet(path)
+    finally:
+        spark.conf.set(name, was)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables ``keep`` has written so far and none has removed."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Remove what ``keep`` wrote after the first ``since`` tables, but for the last ``but`` of them: for
+    callers that need no more of it than those."""
+    end = len(_made) - but
+    for path in _made[since:end]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[since:end]
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: Python workers live on from task to task, and so does what they hold."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """``run`` for mapInArrow, with its memory given back at the end of each task."""
+
+    def whole(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, whatever the optimiser inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

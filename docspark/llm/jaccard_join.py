@@ -18,14 +18,14 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, shingle_sets
-from .common import keep
+from .common import keep, tidy
 from .components import components
 
 #: Largest number of prefix shingles that two documents must share before verification.
@@ -33,6 +33,8 @@ MOST = 4
 #: The frequency sketch has 2**SKETCH_BITS counters at most (64 MB a worker), fewer for little text.
 SKETCH_BITS, SKETCH_LEAST, SKETCH_LOAD = 24, 16, 32
 SKETCH_BLOCK = 1 << 14
+#: So many tasks' parts of a block (64 kB each, compressed) are summed by one group, so many sums by the next.
+SUMMED = 64
 #: So many candidates at most are broadcast (16 bytes each) to find their texts.
 MOST_BROADCAST = 1_000_000
 #: Lists of so many members at most pair them all; after so many turns what is left does, whatever its length.
@@ -51,28 +53,43 @@ def _scan(size: int, bits: int):
                 n += [len(s) for s in sets]
                 sig += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "sig", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], _SCANNED)
         blocks = [(i, counts[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK]) for i in range(-(-len(counts) // SKETCH_BLOCK))]
         blocks = [(i, zlib.compress(c.astype("<i4").tobytes(), 1)) for i, c in blocks if c.any()]
-        k = len(blocks)
+        k, part = len(blocks), TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
-            ["doc_id", "n", "sig", "block", "counts"],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([part] * k, pa.int64()), pa.array([c for _, c in blocks], pa.binary())],
+            _SCANNED,
         )
 
-    return run
+    return tidy(run)
+
+
+_SCANNED = ["doc_id", "n", "sig", "block", "part", "counts"]
 
 
 def _levels(sketch: DataFrame, bits: int) -> np.ndarray:
     """How far above the usual load each counter is: 0, or 1 more than the binary logarithm."""
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), "<i4").astype(np.int64) for c in g["counts"])
-        return pd.DataFrame({"block": g["block"].iloc[:1], "counts": [np.minimum(total, np.iinfo(np.int32).max).astype("<i4").tobytes()]})
-
+    def add(g: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH_BLOCK, np.int64)
+        for c in g["counts"]:
+            one = np.frombuffer(zlib.decompress(c.as_py()), "<i4")
+            total[: len(one)] += one
+        total = np.minimum(total, np.iinfo(np.int32).max).astype("<i4").tobytes()
+        return pa.table({"block": g["block"][:1], "part": g["part"][:1], "counts": pa.array([zlib.compress(total, 1)], pa.binary())})
+
+    parts = (sketch.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        sketch = sketch.withColumn("part", F.expr(f"part DIV {SUMMED}")).groupBy("block", "part").applyInArrow(add, "block int, part long, counts binary")
+        parts = -(-parts // SUMMED)
+        if parts == 1:
+            break
+        sketch = keep(sketch)
     counts = np.zeros(1 << bits, np.int32)
-    for r in sketch.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        counts[r.block * SKETCH_BLOCK : r.block * SKETCH_BLOCK + len(r.counts) // 4] = np.frombuffer(r.counts, "<i4")
+    for r in sketch.collect():  # a row for each block, 64 MB before compression at most
+        one = np.frombuffer(zlib.decompress(r.counts), "<i4")[: len(counts) - r.block * SKETCH_BLOCK]
+        counts[r.block * SKETCH_BLOCK : r.block * SKETCH_BLOCK + len(one)] = one
     usual = max(4.0, 1.5 * float(np.median(counts)))
     levels = np.zeros(len(counts), np.uint8)
     high = np.flatnonzero(counts > usual)
@@ -106,7 +123,7 @@ def _sets(size: int, levels):
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sig0"), pa.array(sig, pa.binary()), _lists(out)], ["node", "sig0", "sig", "toks"])
 
-    return run
+    return tidy(run)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -167,8 +184,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, chars / 6 / SKETCH_LOAD))), SKETCH_LEAST, SKETCH_BITS))
-    scanned = keep(rows.mapInArrow(_scan(size, bits), "doc_id long, n long, sig binary, block int, counts binary"))
-    levels = spark.sparkContext.broadcast(_levels(scanned.where("block IS NOT NULL").select("block", "counts"), bits))
+    scanned = keep(rows.mapInArrow(_scan(size, bits), "doc_id long, n long, sig binary, block int, part long, counts binary"))
+    levels = spark.sparkContext.broadcast(_levels(scanned.where("block IS NOT NULL").select("block", "part", "counts"), bits))
     known = scanned.where("sig IS NOT NULL").select("doc_id", "n", "sig")
     classes = keep(known.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
 
@@ -183,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
                     last.append(_place(out[-1], levels.value))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), _lists(out), pa.array(last, pa.int64())], ["doc_id", "sig", "toks", "last"])
 
-    heads = rows.mapInArrow(prefix, "doc_id long, sig binary, toks array<long>, last long")
+    heads = rows.mapInArrow(tidy(prefix), "doc_id long, sig binary, toks array<long>, last long")
     # Of a class, the representative's prefix alone goes on (all are equal).
     mine = heads.join(classes, "sig").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
     posts = keep(mine.select("node", "n", "last", F.posexplode("toks").alias("pos", "token")))
@@ -218,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
         """(node, toks) of the documents in ``pairs``, from their whole texts."""
         names = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node")
         names = keep(names.select("node", "rep", F.col("sig").alias("sig0")))
-        few = names.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        few = names.count() <= MOST_BROADCAST
         found = rows.join(F.broadcast(names) if few else names, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "sig0", "text")
         return keep(found.mapInArrow(_sets(size, levels), "node long, sig0 binary, sig binary, toks array<long>").where("sig = sig0").select("node", "toks").dropDuplicates(["node"]))
 
@@ -245,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     asked, more = [], []
     for turn in range(TURNS):
         long = now.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("list")
-        last = turn == TURNS - 1 or not long.limit(1).count()
+        last = turn == TURNS - 1 or not long.count()
         short = now if last else now.join(long, "list", "left_anti")
         asked.append(keep(enough(_pairs(short, facts)) if turn == 0 else _pairs(short, ["n"]).where(like).select("a", "b")))
         if last:
@@ -259,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
         more.append(linked)
     pairs = reduce(DataFrame.union, asked).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = reduce(DataFrame.union, [verified(keep(pairs)), *more])
-    if more.limit(1).count():
+    if more.count():
         labels = components(links.union(more))
     else:
         labels = first

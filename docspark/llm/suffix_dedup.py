@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, mix, powers, prefix_sums
-from .common import keep
+from .common import keep, tidy
 
 SPAN, DIGIT = 200, 48
 #: Windows in a band at each further digit; the last must be 1.
@@ -119,7 +119,7 @@ def _suffixes(span: int):
                     ["doc_id", "th", "lo", "n", "p", "kh", "ch"],
                 )
 
-    return run
+    return tidy(run)
 
 
 _BODY = "doc_id long, th int, lo int, n short, p short, kh long, many byte, body binary"
@@ -143,7 +143,7 @@ def _bodies(span: int):
                     types = [pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int8(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "th", "lo", "n", "p", "kh", "many", "body"])
 
-    return run
+    return tidy(run)
 
 
 _BAND = "id long, s short, n short, many byte, core long, ctx long"
@@ -177,7 +177,7 @@ def _bands(span: int, digit: int, width: int):
                     ["id", "s", "n", "many", "core", "ctx"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +243,14 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, key: str = "doc_id", te
         touched = F.broadcast(cuts.select(F.col("doc_id").alias("k")))
         hit = rows.join(touched, rows["doc_id"].eqNullSafe(F.col("k")), "left_semi")
         rest = rows.join(touched, rows["doc_id"].eqNullSafe(F.col("k")), "left_anti")
-        cut = hit.join(cuts, hit["doc_id"].eqNullSafe(cuts["doc_id"])).select(hit["doc_id"], "text", "cuts").mapInArrow(_cut, schema)
+        cut = hit.join(cuts, hit["doc_id"].eqNullSafe(cuts["doc_id"])).select(hit["doc_id"], "text", "cuts").mapInArrow(tidy(_cut), schema)
         raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
         return cut.unionByName(rest.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept")))
-    return rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["doc_id"]), "left").select(rows["doc_id"], "text", "cuts").mapInArrow(_cut, schema)
+    return rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["doc_id"]), "left").select(rows["doc_id"], "text", "cuts").mapInArrow(tidy(_cut), schema)
 
 
 def _small(table: DataFrame) -> bool:
-    return table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return table.count() <= MOST_BROADCAST
 
 
 def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
