@@ -12,17 +12,18 @@ the deficits that the lanes before left and fill their windows independently.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
-from .tokens import Encoder
+from .bytetext import chunks
+from .common import keep, tidy
+from .tokens import encoder
 
 SEQUENCE = 1024
 #: Sequences that a window holds: over each the mixture keeps its proportions.
@@ -35,25 +36,27 @@ MOST_BROADCAST = 200_000
 
 
 def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row: doc_id, source, n, ids (compressed), task, run (tokens of its source that
-    the same task has seen before). Null text is empty; each document ends with id 0."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    """One row per row: doc_id, source (as a string), n, ids (compressed), task, run (tokens of its
+    source that the same task has seen before). Null text is empty; each document ends with id 0."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, pack, task = Encoder(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, pack, task = encoder(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
         for b in batches:
-            n, ids, before = [], [], []
-            for s, t in zip(b["source"], b["text"], strict=True):
-                x = encode(t or "") + b"\0\0"
-                ids.append(pack.compress(x))
-                n.append(len(x) // 2)
-                before.append(seen.get(s, 0))
-                seen[s] = before[-1] + n[-1]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n": n, "ids": ids, "task": task, "run": before})
+            for lo, hi, _, _ in chunks(b.column("text")):
+                n, ids, before = [], [], []
+                part = b.slice(lo, hi - lo)
+                for s, t in zip(part.column("source").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    x = encode(t or "") + b"\0\0"
+                    ids.append(pack.compress(x))
+                    n.append(len(x) // 2)
+                    before.append(seen.get(s, 0))
+                    seen[s] = before[-1] + n[-1]
+                own = [part.column("doc_id"), part.column("source")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([task] * len(n), pa.int64()), pa.array(before, pa.int64())], ["doc_id", "source", "n", "ids", "task", "run"])
 
-    kind = dict(rows.dtypes)
-    return keep(rows.mapInPandas(run, f"doc_id {kind['doc_id']}, source {kind['source']}, n long, ids binary, task long, run long"))
+    return keep(rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, source string, n long, ids binary, task long, run long"))
 
 
 def schedule(totals: np.ndarray, weights: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +98,10 @@ def whole(want: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
     return take
 
 
-def fill(queues: list[pd.DataFrame], share: np.ndarray, owed: np.ndarray, counts: np.ndarray, window: int, sequence: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (queue, row, start in the row, length, position in the lane) of one lane by deficit round-robin."""
-    left, owed, at = counts.copy(), owed.copy(), np.zeros(len(counts), np.int64)
+def fill(queues: list[np.ndarray], share: np.ndarray, owed: np.ndarray, counts: np.ndarray, window: int, sequence: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (queue, row, start in the row, length, position in the lane) of one lane by deficit
+    round-robin. ``queues``: the lengths of each queue's rows."""
+    left, owed = counts.copy(), owed.copy()
     takes = []
     while left.sum() > 0:
         room = int(min(window, left.sum()))
@@ -110,10 +114,9 @@ def fill(queues: list[pd.DataFrame], share: np.ndarray, owed: np.ndarray, counts
     t = np.array(takes)
     starts = np.concatenate([[0], t.sum(1).cumsum()])[:-1, None] + np.concatenate([np.zeros((len(t), 1), np.int64), t.cumsum(1)[:, :-1]], 1)
     out = []
-    for q, rows in enumerate(queues):
-        if not len(rows):
+    for q, sizes in enumerate(queues):
+        if not len(sizes):
             continue
-        sizes = rows["length"].to_numpy(np.int64)
         ends = sizes.cumsum()
         begins = ends - sizes
         q_ends = t[:, q].cumsum()
@@ -133,13 +136,20 @@ def fill(queues: list[pd.DataFrame], share: np.ndarray, owed: np.ndarray, counts
     return out
 
 
-def pack(docs: DataFrame, *, weights: dict | None = None, sequence: int = SEQUENCE, window: int = WINDOW, lane: int = LANE, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def pack(
+    docs: DataFrame, *, weights: dict[str | None, float] | Sequence[float] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, lane: int = LANE,
+    key: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids (little-endian 32-bit), doc_tokens,
     sequence_id, offset. Every token lies in exactly one piece; sequences are full but for the last.
 
-    ``weights``: the mixture by source (0 if missing); without it, sources keep their shares of all
-    tokens. A null source is a source; null and empty texts are one token; repeated rows are packed
-    each; an empty table gives an empty result; other columns are not read.
+    ``weights``: the target mixture, by source (0 if missing) or as a list that repeats along the
+    sources by code point, null last; without it, sources keep their shares of all tokens. Every
+    window holds its sources' parts of the target to a token, until a queue is dry; its part then goes
+    to the others by weight. A null source is a source, others are taken as strings; null and empty
+    texts are one token; very long texts are cut like any other; repeated rows are packed each; an
+    empty table gives an empty result; other columns are not read. The number of sources, one row
+    each on the driver, is bounded by the mixture's definition.
     """
     spark = docs.sparkSession
     rows = tokenize(docs, key=key, text=text, source=source)
@@ -150,7 +160,11 @@ def pack(docs: DataFrame, *, weights: dict | None = None, sequence: int = SEQUEN
     sums = {r.source: r.n for r in base.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row per source
     names = sorted((s for s in sums if s is not None)) + [None] * (None in sums)
     totals = np.array([sums[s] for s in names], np.int64)
-    share = np.array([float((weights or sums).get(s, 0.0)) for s in names])
+    if weights is None:
+        weights = sums
+    elif not isinstance(weights, dict):
+        weights = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    share = np.array([float(weights.get(s, 0.0)) for s in names])
     unit = sequence * window * lane
     unit *= max(1, -(-int(totals.sum()) // (unit * MOST_LANES)))
     upto, shares, owed = schedule(totals, share, unit)
@@ -160,47 +174,55 @@ def pack(docs: DataFrame, *, weights: dict | None = None, sequence: int = SEQUEN
     placed = rows.join(F.broadcast(starts) if small else starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t"))).select(
         "doc_id", "source", "n", "ids", (F.col("base") + F.col("run")).alias("at")
     )
-    kind = dict(rows.dtypes)
-    fields = f"doc_id {kind['doc_id']}, source {kind['source']}, doc_tokens long"
+    kind = dict(rows.dtypes)["doc_id"]
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cut rows where a lane's part of their queue ends."""
         unzip, zip_ = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for b in batches:
             out = []
-            for i, s, n, ids, at in zip(b["doc_id"], b["source"], b["n"], b["ids"], b["at"], strict=True):
+            for i, (s, n, ids, at) in enumerate(zip(*(b.column(c).to_pylist() for c in ("source", "n", "ids", "at")), strict=True)):
                 ends = upto[1:, index[s]]
                 k, lo = int(np.searchsorted(ends, at, "right")), at
                 while lo < at + n:
                     hi = min(at + n, int(ends[k]))
                     if hi > lo:
-                        part = ids if hi - lo == n else zip_.compress(unzip.decompress(ids)[2 * (lo - at) : 2 * (hi - at)])
-                        out.append((i, s, n, k, lo, lo - at, hi - lo, part))
+                        out.append((i, k, lo, lo - at, hi - lo, ids if hi - lo == n else zip_.compress(unzip.decompress(ids)[2 * (lo - at) : 2 * (hi - at)])))
                     k, lo = k + 1, hi
-            yield pd.DataFrame(out, columns=["doc_id", "source", "doc_tokens", "lane", "at", "start", "length", "ids"])
+            row, *cols = zip(*out, strict=True) if out else ((),) * 6
+            own = [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "source", "n")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.binary()], strict=True))], ["doc_id", "source", "doc_tokens", "lane", "at", "start", "length", "ids"])
 
-    def fill_lane(g: pd.DataFrame) -> pd.DataFrame:
+    def fill_lane(g: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
-        k = int(g["lane"].iloc[0])
-        q = g["source"].map(lambda s: index[None if s is None or s != s else s])
-        queues = [part.sort_values("at").reset_index(drop=True) for part in (g[q == i] for i in range(len(names)))]
-        out, first = [], k * (unit // sequence)
-        rows_ids: dict[tuple[int, int], np.ndarray] = {}
-        for i, r, a, n, pos in fill(queues, shares[k], owed[k], upto[k + 1] - upto[k], sequence * window, sequence):
-            row = queues[i]
-            if (i, r) not in rows_ids:
-                rows_ids = {(i, r): np.frombuffer(unzip.decompress(row["ids"][r]), "<u2").astype("<u4")}
-            ids = rows_ids[i, r][a : a + n]
-            out.append((row["doc_id"][r], names[i], row["doc_tokens"][r], int(row["start"][r]) + a, n, ids.tobytes(), first + pos // sequence, pos % sequence))
-        return pd.DataFrame(out, columns=["doc_id", "source", "doc_tokens", "start", "length", "ids", "sequence_id", "offset"])
-
-    lanes = placed.mapInPandas(deal, fields + ", lane int, at long, start long, length long, ids binary")
-    return lanes.groupBy("lane").applyInPandas(fill_lane, fields + ", start long, length long, ids binary, sequence_id long, offset long")
+        g = g.sort_by("at").combine_chunks()
+        k = g["lane"][0].as_py()
+        where = np.array([index[s] for s in g["source"].to_pylist()], np.int64)
+        queues = [np.flatnonzero(where == i) for i in range(len(names))]
+        length, start, first = g["length"].to_numpy(), g["start"].to_numpy(), k * (unit // sequence)
+        rows, out, last, ids = [], [], None, b""
+        for i, r, a, n, pos in fill([length[q] for q in queues], shares[k], owed[k], upto[k + 1] - upto[k], sequence * window, sequence):
+            row = int(queues[i][r])
+            if row != last:
+                last, ids = row, np.frombuffer(unzip.decompress(g["ids"][row].as_py()), "<u2").astype("<u4")
+            rows.append(row)
+            out.append((int(start[row]) + a, n, ids[a : a + n].tobytes(), first + pos // sequence, pos % sequence))
+        own = [g[c].take(pa.array(rows, pa.int64())) for c in ("doc_id", "source", "doc_tokens")]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)]
+        return pa.Table.from_arrays([*own, *cols], ["doc_id", "source", "doc_tokens", "start", "length", "ids", "sequence_id", "offset"])
+
+    lanes = placed.mapInArrow(tidy(deal), f"doc_id {kind}, source string, doc_tokens long, lane long, at long, start long, length long, ids binary")
+    return lanes.groupBy("lane").applyInArrow(fill_lane, f"doc_id {kind}, source string, doc_tokens long, start long, length long, ids binary, sequence_id long, offset long")
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: The target mixture of the packing query, along the sources by code point.
+WEIGHTS = (5, 2, 1)
+
+
 def op3(docs: DataFrame) -> DataFrame:
-    return with_crc(pack(docs))
+    return with_crc(pack(docs, weights=WEIGHTS))

@@ -1,23 +1,19 @@
-"""Token ids of the public byte-level vocabulary, with a bounded cache of words."""
+"""Token ids of the public byte-level vocabulary."""
 
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 
-#: Words that a worker remembers: at most about 100 MB.
-REMEMBER = 400_000
-_EDGE = re.compile(r" \s|\s | $|^ ")
+_encoder = None
 
 
 class Encoder:
     """Ids as ``tokenizers`` gives them for the vocabulary file, as little-endian 16-bit bytes.
 
-    Where every space stands between two other characters, the vocabulary's own pattern starts a
-    word at each space, so words are encoded apart and remembered. Other texts are encoded whole;
-    those that spell a special token go through ``tokenizers`` itself.
+    The same vocabulary and word pattern in the faster library give the same ids; texts that spell a
+    special token go through ``tokenizers`` itself. Nothing of a text is remembered.
     """
 
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None) -> None:
@@ -29,10 +25,6 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("words", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = None
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -43,18 +35,12 @@ class Encoder:
 
                 self.slow = Tokenizer.from_file(self.json_path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if _EDGE.search(text):
-            return self._bytes(text)
-        first, *rest = text.split(" ")
-        words = self.words
-        if len(words) > REMEMBER:
-            words.clear()
-        out = [self._bytes(first)]
-        for w in rest:
-            x = words.get(w)
-            if x is None:
-                x = self._bytes(" " + w)
-                if len(w) <= 64:
-                    words[w] = x
-            out.append(x)
-        return b"".join(out)
+        return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
+
+
+def encoder() -> Encoder:
+    """One for each worker: a vocabulary takes a tenth of a second to load."""
+    global _encoder
+    if _encoder is None:
+        _encoder = Encoder()
+    return _encoder
