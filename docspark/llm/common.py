@@ -93,8 +93,24 @@ def give_back() -> None:
         trim(0)
 
 
+#: Rows and bytes of an Arrow batch at most: a batch of long texts lies outside the JVM's heap, twice while it grows, and again in Python.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to these bounds, where they are larger or have none."""
+    for name, most in _BATCH.items():
+        now = int(spark.conf.get(name, str(most)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def tidy(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
-    """``run`` for mapInArrow, with its memory given back at the end of each task."""
+    """``run`` for mapInArrow, with its memory given back at the end of each task and batches of bounded size."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        small_batches(session)
 
     def whole(batches: Iterator[Any]) -> Iterator[Any]:
         try:

@@ -14,10 +14,13 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import give_back, tidy
 
 #: The largest number of labelled documents to train on, taken by hash; all documents are scored.
 MAX_TRAIN = 12_000
@@ -27,6 +30,8 @@ LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 4.0, 600
 #: Buckets of the rough count of features, before the exact one.
 BUCKETS = 1 << 23
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Words whose features a scorer remembers: about 10 MB a worker.
+REMEMBER = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>!]")
 
@@ -65,17 +70,19 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; the last column of ``x`` is 1."""
+    """Weights of a ridge logistic regression by Newton's method; the last column of ``x`` (32-bit) is 1."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
+    blocks = [slice(lo, lo + 2048) for lo in range(0, len(x), 2048)]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * w
-        h = np.diag(penalty)
-        for lo in range(0, len(x), 2048):
-            part = x[lo : lo + 2048]
-            h += (part * (p * (1 - p) + 1e-6)[lo : lo + 2048, None]).T @ part
+        g, h = penalty * w, np.diag(penalty)
+        for at in blocks:
+            part = x[at].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            g += part.T @ (p - y[at])
+            # The Hessian only steers; half of the precision will do.
+            h += (x[at] * (p * (1 - p) + 1e-6)[:, None].astype(np.float32)).T @ x[at]
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-5:
@@ -140,7 +147,7 @@ class Chain:
             place[best] = np.arange(len(best))
             line = np.full(n_docs, -1, np.int32)
             line[rows] = np.arange(len(rows))
-            x = np.zeros((len(rows), len(best) + extra.shape[1] + 1))
+            x = np.zeros((len(rows), len(best) + extra.shape[1] + 1), np.float32)
             for lo in range(0, len(flat), 1 << 20):
                 i, j = line[where[lo : lo + (1 << 20)]], place[flat[lo : lo + (1 << 20)]]
                 both = (i >= 0) & (j >= 0)
@@ -179,7 +186,7 @@ class Chain:
         cache: dict[str, tuple[str, ...]] = {}
 
         def score(text: str | None) -> list[float]:
-            if len(cache) > 400_000:
+            if len(cache) > REMEMBER:
                 cache.clear()
             words, style = text_parts(text)
             found = {s for s in style if s in table}
@@ -205,24 +212,27 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], *, key: str = "doc_id", text: str = "text", most: int = MAX_TRAIN) -> Chain:
     """``categories``: name to (column of ``labels``, the value that means yes), in the chain's order.
 
-    Labels with a null, and those without a document, are left out; of repeated labels and documents
-    one of each is used. No labels at all train a chain that finds nothing.
+    Labels with a null, and those without a document, are left out; of repeated labels the smallest
+    row is used, of documents with one id the one whose text has the smallest hash. No labels at all
+    train a chain that finds nothing.
     """
     cols = sorted({c for c, _ in categories.values()})
-    picked = labels.select(F.col(key).alias("k"), *cols).dropna().groupBy("k").agg(*[F.max(c).alias(c) for c in cols]).orderBy(F.xxhash64("k"), "k").limit(most)
+    picked = labels.select(F.col(key).alias("k"), *cols).dropna().groupBy("k").agg(F.min(F.struct(*cols)).alias("y")).select("k", "y.*").orderBy(F.xxhash64("k"), "k").limit(most)
     # At most ``most`` rows of some tens of bytes.
     both = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [text_parts(t) for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], **{c: b[c] for c in cols}, "fold": [hash_text(t) % FOLDS for t in b["t"]], "words": [" ".join(sorted(p[0])) for p in parts], "style": [" ".join(p[1]) for p in parts]})
+            texts = b.column("t").to_pylist()
+            parts, hashes = [text_parts(t) for t in texts], np.array([hash_text(t) for t in texts], np.uint64)
+            words, style = [" ".join(sorted(p[0])) for p in parts], [" ".join(p[1]) for p in parts]
+            own = [b.column(c) for c in ("k", *cols)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(hashes.view(np.int64)), pa.array((hashes % np.uint64(FOLDS)).astype(np.int32)), pa.array(words, pa.string()), pa.array(style, pa.string())], ["k", *cols, "h", "fold", "words", "style"])
 
     kind = dict(picked.dtypes)
-    got = both.mapInPandas(bags, f"k {kind['k']}, {', '.join(f'{c} {kind[c]}' for c in cols)}, fold int, words string, style string").toArrow()
-    order = pc.sort_indices(got, [("k", "ascending"), ("words", "ascending")]).to_numpy()
-    keys = got["k"].to_numpy()[order]
-    order = order[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else order
+    found = both.mapInArrow(tidy(bags), f"k {kind['k']}, {', '.join(f'{c} {kind[c]}' for c in cols)}, h long, fold int, words string, style string")
+    got = found.groupBy("k", *cols).agg(F.min(F.struct("h", "fold", "words", "style")).alias("d")).select("k", *cols, "d.fold", "d.words", "d.style").toArrow()
+    order = pc.sort_indices(got, [("k", "ascending")]).to_numpy()
     y = np.column_stack([(got[c].to_numpy()[order] == v).astype(int) for c, v in categories.values()])
 
     def sets() -> Iterator[list[str]]:
@@ -230,7 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
             words, style = got["words"][i].as_py(), got["style"][i].as_py()
             yield sorted({f for w in words.split() for f in word_features(w)} | set(style.split()))
 
-    return Chain.train(sets, y, got["fold"].to_numpy()[order], list(categories))
+    chain = Chain.train(sets, y, got["fold"].to_numpy()[order], list(categories))
+    del got, y
+    give_back()
+    return chain
 
 
 def hash_text(text: str | None) -> int:
@@ -240,19 +253,19 @@ def hash_text(text: str | None) -> int:
 
 
 def score(docs: DataFrame, chain: Chain, *, text: str = "text", prefix: str = "p_") -> DataFrame:
-    """``docs`` with a probability column for each category. Null and empty texts get the models' biases."""
+    """``docs`` with a probability column for each category, which takes the place of one of that
+    name. Null and empty texts get the models' biases; all rows stay, repeated ones too."""
     names = [prefix + c for c in chain.categories]
-    clash = [n for n in names if n in docs.columns]
-    base = docs.drop(*clash)
+    base = docs.drop(*[n for n in names if n in docs.columns])
+    columns = [*base.columns, *names]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = chain.scorer()
         for b in batches:
-            p = [f(t) for t in b[text]]
-            yield b.assign(**{n: [x[i] for x in p] for i, n in enumerate(names)})
+            p = [f(t.as_py()) for t in b.column(text)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[i] for x in p], pa.float64()) for i in range(len(names)))], columns)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + "".join(f", `{n}` double" for n in names)
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(tidy(run), StructType([*base.schema, *(StructField(n, DoubleType()) for n in names)]))
 
 
 #: What the labels table names, in the chain's order; the toxic model sees the chance of junk.
