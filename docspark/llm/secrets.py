@@ -1,7 +1,7 @@
 """Secret scans: pattern candidates, false positives removed by a random forest, all in the JVM.
 
-Candidates are long runs of key characters with a digit, and shorter ones or ones without a digit
-after a secret word and a sign. The forest looks at a candidate's length,
+Candidates are long runs of key characters with a digit, shorter ones or ones without a digit after a
+secret word and a sign, signed tokens with their dots, and blocks of private keys. The forest looks at a candidate's length,
 its character transitions, how much of it dictionary words cover, whether it is part of a path, and
 the words beside it. It is trained by Spark's own learner on a bounded table of labelled findings and
 then written out as SQL expressions, so scanning is one pass of expressions inside each row: no
@@ -31,8 +31,11 @@ _PUBLIC = r"(?i)sha|commit|md5|hash|checksum|digest|uuid|guid|revision|\brev\b|v
 #: What may stand between a name and its value.
 _SIGN = r"[\"']?\s{0,2}(?:=>|:=|[=:])\s{0,2}[\"']?"
 _NAMED = rf"(?<=[=:>]\s{{0,2}}[\"']?)(?<=(?i:{_SECRET[4:]})[A-Za-z0-9_\-]{{0,16}}{_SIGN})|(?<=(?i:bearer)\s{{1,2}})"
+#: A private key with its first line, and a signed token: three parts with dots between.
+_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+"
+_DOTTED = r"eyJ[A-Za-z0-9_\-]{8,}+(?:\.[A-Za-z0-9_\-]{4,}+){1,2}+"
 #: A long run of key characters with a digit, or any run of eight after a secret word and a sign; '=' only ends one, as padding.
-CANDIDATE = rf"(?<![{_KEY}])(?:(?=[A-Za-z+/_\-]*[0-9])[{_KEY}]{{16,}}+|(?=[{_KEY}]{{8}})(?:{_NAMED})[{_KEY}]{{8,}}+)(?:={{1,2}}(?![{_KEY}=]))?"
+CANDIDATE = rf"(?<![{_KEY}])(?:{_BLOCK}|{_DOTTED}|(?=[A-Za-z+/_\-]*[0-9])[{_KEY}]{{16,}}+|(?=[{_KEY}]{{8}})(?:{_NAMED})[{_KEY}]{{8,}}+)(?:={{1,2}}(?![{_KEY}=]))?"
 FEATURES = ["length", "transitions", "digits", "upper", "hexadecimal", "distinct", "covered", "path", "secret_word", "public_word", "assigned", "quoted"]
 TREES, DEPTH, SEED = 15, 6, 7
 #: The largest number of labelled findings to train on.
@@ -120,6 +123,16 @@ def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:
         (F.concat(key, sign), F.concat(F.translate(F.initcap(F.concat(word(54), word(55))), "oaei", "0431"), F.lpad(draw(56, 10_000).cast("string"), 4, "0"), pick(57, "x", "Qz", "xyzQQ1")), close, 1),
         (F.concat(pick(58, "token", "password", "secret", "credentials", "auth", "private"), sign), plain, close, 0),
     ]
+    issued = F.element_at(F.array(F.concat(F.lit("AKIA"), F.upper(base(68, 16))), F.concat(F.lit("ghp_"), base(69, 36)), F.concat(F.lit("sk_live_"), base(70, 24)), F.concat(F.lit("xoxb-"), base(71, 24))), draw(72, 4) + 1)
+    signed = F.concat(F.lit("eyJ"), base(73, 33), F.lit(".eyJ"), base(74, 60), F.lit("."), base(75, 43))
+    block = F.concat(F.lit("-----BEGIN "), pick(76, "", "RSA ", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----\n"), base(77, 64), F.lit("\n"), base(78, 64), F.lit("\n"), base(79, 30), F.lit("==\n"))
+    host = F.concat(F.upper(pick(80, *lengthy)), F.lit("_"), F.upper(pick(81, *lengthy)), F.lit("_"), F.upper(pick(82, *lengthy)), draw(83, 100).cast("string"))
+    kinds += [  # keys that tell themselves by their beginning, with nothing beside them
+        (F.concat(word(84), F.lit(" ")), issued, F.concat(F.lit(" "), word(85)), 1),
+        (F.concat(word(86), F.lit(" ")), signed, F.concat(F.lit(" "), word(87)), 1),
+        (F.concat(word(88), F.lit("\n")), block, F.lit("-----END PRIVATE"), 1),
+        (F.concat(word(89), F.lit(" ")), host, F.concat(F.lit(" "), word(90)), 0),
+    ]
     which = F.pmod(F.col("id"), F.lit(len(kinds)))
 
     def column(i: int) -> Column:
