@@ -35,8 +35,8 @@ SKETCH_BITS, SKETCH_LEAST, SKETCH_LOAD = 24, 16, 32
 SKETCH_BLOCK = 1 << 14
 #: So many tasks' parts of a block (64 kB each, compressed) are summed by one group, so many sums by the next.
 SUMMED = 64
-#: So many candidates at most are broadcast (16 bytes each) to find their texts.
-MOST_BROADCAST = 1_000_000
+#: So many candidates at most are broadcast (64 MB) to find their texts.
+MOST_BROADCAST = 500_000
 #: Lists of so many members at most pair them all; after so many turns what is left does, whatever its length.
 SHORT, TURNS = 32, 6
 

@@ -21,7 +21,7 @@ CLASS_LIMIT, WORD_LIMIT = 0.28, 0.36
 #: References of so many languages at most are broadcast (about 10 kB each); more are joined by shuffle.
 MAX_BROADCAST = 400
 
-_CLASSES = (r"\p{Lu}+", r"[0-9]+", r"[.,;:!?'\"()\-]+")
+_CLASSES = (r"\p{Lu}", r"[0-9]", r"[.,;:!?'\"()\-]")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -32,15 +32,25 @@ def _repeat_words(words: Column) -> Column:
             steps = F.transform(p, lambda q, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - q, F.lit(3))))
             return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-        def positions(s: Column) -> Column:
+        def sorted_(mask: Column) -> Column:
+            # A place takes the low bits of its hash, so whole numbers are sorted, not pairs; equal neighbours are told by whole hashes.
+            places = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
+            return let(F.sort_array(places), lambda s: let(positions(s, mask), spread))
+
+        def positions(s: Column, mask: Column) -> Column:
+            def at(e: Column) -> Column:
+                return e.bitwiseAND(mask).cast("int")
+
             def flag(e: Column, j: Column) -> Column:
-                before = F.when(j > 0, F.get(s, j - 1)["x"] == e["x"])
-                return F.when(F.coalesce(before, F.lit(False)) | F.coalesce(F.get(s, j + 1)["x"] == e["x"], F.lit(False)), e["i"])
+                def same(other: Column) -> Column:
+                    return F.coalesce(F.get(h, at(other)) == F.get(h, at(e)), F.lit(False))
+
+                return F.when(same(F.get(s, j + 1)) | F.when(j > 0, same(F.get(s, j - 1))).otherwise(F.lit(False)), at(e))
 
-            return F.array_sort(F.filter(F.transform(s, flag), lambda v: v.isNotNull()))
+            return F.sort_array(F.filter(F.transform(s, flag), lambda v: v.isNotNull()))
 
-        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return let(let(order, positions), spread)
+        bits = F.length(F.bin(F.size(h).cast("long")))
+        return let(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1, sorted_)
 
     def hashed(w: Column) -> Column:
         h = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
@@ -65,6 +75,35 @@ def _distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), let(total(p), lambda sp: let(total(q), lambda sq: inner(sp, sq))))
 
 
+def _word_distance(hits: Column, n: Column, ref: Column, total: Column) -> Column:
+    """Jensen-Shannon distance of a text's common words and all others (``n`` words in all) to its language's.
+
+    A common word that the text lacks adds half of its share in the language, so only those it holds are visited.
+    """
+
+    def sums(a: Column, x: Column) -> Column:
+        q = F.coalesce(F.element_at(ref, x["word"]), F.lit(0)).cast("double")
+        p = x["n"] / n
+        both = _half(p, q / total) + _half(q / total, p)
+        return F.struct((a["js"] + both).alias("js"), (a["p"] + x["n"]).alias("p"), (a["q"] + q).alias("q"))
+
+    def whole(a: Column) -> Column:
+        known = F.aggregate(F.map_values(ref), F.lit(0.0), lambda x, y: x + y)
+        p, q = F.greatest(F.lit(0.0), n - a["p"]), F.greatest(F.lit(0.0), total - known)
+        # The rest's sums follow from what the common words leave, so both histograms sum to 1 but for words counted two ways.
+        sp, sq = F.greatest(n.cast("double"), a["p"]), F.greatest(total.cast("double"), known)
+        rest = _half(p / sp, q / sq) + _half(q / sq, p / sp) + (known - a["q"]) / sq / 2
+        return F.sqrt(F.greatest(F.lit(0.0), a["js"] + rest))
+
+    zero = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    return F.when((n > 0) & (total > 0), let(F.aggregate(hits, zero, sums), whole))
+
+
+def _half(p: Column, q: Column) -> Column:
+    """One side's part of the divergence, in bits: p / 2 log2(p / m) with m midway between p and q."""
+    return F.when(p > 0, p * F.log2(2 * p / (p + q)) / 2).otherwise(F.lit(0.0))
+
+
 def measure(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row: doc_id, lang, the base measures, and the distances ``class_distance`` and
     ``word_distance`` (null where the document or its language is too short to judge).
@@ -78,26 +117,23 @@ def measure(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
     counts = keep(
         rows.select("lang", F.explode(F.split(F.regexp_replace(F.lower("text"), letters, " "), " ")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_LANGUAGE_WORDS)
-    common = (
-        counts.join(totals, "lang").where(F.col("n") >= COMMON_SHARE * F.col("total")).groupBy("lang", "total").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("c"))
-    ).select("lang", F.col("total").alias("lang_words"), F.col("c")["word"].alias("words"), F.col("c")["n"].alias("word_ref"))
-    common = keep(common)
-    few = common.count() <= MAX_BROADCAST
+    totals = keep(counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_LANGUAGE_WORDS))
+    few = totals.count() <= MAX_BROADCAST
     near = (lambda t: F.broadcast(t)) if few else (lambda t: t)
+    # No word below this count can be common, so the vocabulary's long tail is not joined.
+    often = counts.where(F.col("n") >= COMMON_SHARE * MIN_LANGUAGE_WORDS)
+    common = often.join(near(totals), "lang").where(F.col("n") >= COMMON_SHARE * F.col("total")).groupBy("lang", "total").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("c"))
+    common = keep(common.select("lang", F.col("total").alias("lang_words"), F.map_keys("c").alias("words"), F.col("c").alias("word_ref")))
 
     n_chars = F.length("text")
     word_chars = F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
-    cls = [n_chars - F.length(F.regexp_replace("text", c, "")) for c in _CLASSES]
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), letters, "  "), F.lit(" "))
+    cls = [F.regexp_count("text", F.lit(c)) for c in _CLASSES]
+    tokens = F.split(F.regexp_replace(F.lower("text"), letters, " "), " ")
 
     def hits(t: Column) -> Column:
-        def one(w: Column) -> Column:
-            gone = F.length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
-            return ((F.length(t) - gone) / (F.length(w) + 2)).cast("double")
-
-        return F.transform("words", one)
+        """The common words that a text holds, found by hash, and how often it does."""
+        return F.transform(F.array_intersect("words", t), lambda w: F.struct(w.alias("word"), (F.size(t) - F.size(F.array_remove(t, w))).cast("double").alias("n")))
 
     wide = rows.join(near(common), "lang", "left").select(
         "doc_id",
@@ -106,38 +142,31 @@ def measure(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
         "word_ref",
         n_chars.alias("n_chars"),
         word_chars.cast("long").alias("word_chars"),
-        (n_chars - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
         let(
             F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
             lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("r")),
         ).alias("w"),
         F.array(*cls).alias("cls"),
-        F.when(F.col("words").isNotNull(), let(spaced, hits)).alias("hits"),
+        F.when(F.col("words").isNotNull(), let(tokens, hits)).alias("hits"),
     )
     # Symbols, white space and all else (mostly lower-case letters) complete the classes.
     known = F.aggregate("cls", F.lit(0), lambda a, b: a + b) + F.col("n_symbols") + (F.col("n_chars") - F.col("word_chars"))
     full = F.transform(F.concat(F.col("cls").cast("array<long>"), F.array(F.col("n_symbols"), F.col("n_chars") - F.col("word_chars"), F.col("n_chars") - known)), lambda v: v.cast("double"))
+    judged = (F.col("n_words") >= MIN_WORDS) & F.col("lang_words").isNotNull()
+    words = _word_distance(F.col("hits"), F.col("n_words"), F.col("word_ref"), F.col("lang_words"))
     got = keep(
-        wide.select(
-            "doc_id", "lang", "lang_words", "word_ref", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"), full.alias("classes"), "hits"
+        wide.select("*", F.col("w.n").alias("n_words"), F.col("w.r").alias("n_repeat_words")).select(
+            "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", judged.alias("judged"), full.alias("classes"), F.when(judged, words).alias("word_distance")
         )
     )
     # The class reference of a language: the sum over its documents, six numbers a language.
     n = len(_CLASSES) + 3
     ref = got.groupBy("lang").agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(n)]).alias("class_ref"))
-    judged = (F.col("n_words") >= MIN_WORDS) & F.col("lang_words").isNotNull()
-
-    def with_rest(a: Column, total: Column) -> Column:
-        return F.concat(a, F.array(F.greatest(F.lit(0.0), total.cast("double") - F.aggregate(a, F.lit(0.0), lambda x, y: x + y))))
-
     return (
         got.join(near(ref), "lang", "left")
-        .withColumn("class_distance", F.when(judged, _distance(F.col("classes"), F.col("class_ref"))))
-        .withColumn(
-            "word_distance",
-            F.when(judged, _distance(with_rest(F.col("hits"), F.col("n_words")), with_rest(F.col("word_ref").cast("array<double>"), F.col("lang_words")))),
-        )
+        .withColumn("class_distance", F.when(F.col("judged"), _distance(F.col("classes"), F.col("class_ref"))))
         .select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")
     )
 

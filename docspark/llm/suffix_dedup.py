@@ -32,8 +32,8 @@ SPAN, DIGIT = 200, 48
 BANDS = (39, 8, 1)
 #: Longer texts are searched in parts that overlap by a window; positions then fit in 24 bits.
 PART = 1 << 22
-#: Ids of so many documents at most are broadcast (about 16 bytes each) to spare the others a shuffle.
-MOST_BROADCAST = 8_000_000
+#: Ids of so many documents at most are broadcast (64 MB) to spare the others a shuffle.
+MOST_BROADCAST = 1_000_000
 _U = np.uint64
 _INDEX = _U((1 << 24) - 1)
 
