@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and empty tables; columns
+beyond those of documents go through all stages but the last. What a stage does with them is said below.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import jaccard_join, mixing, packing, secrets, toxicity
-from docspark.llm.common import keep, read_table
+from docspark.llm.common import keep, made, read_table, sweep
 
-#: So many removed rows at most are broadcast (about 16 bytes each).
-MOST_BROADCAST = 8_000_000
+#: So many removed rows at most are broadcast (64 MB).
+MOST_BROADCAST = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, trained on the labels, does not call toxic."""
+    """Documents that the classifier chain, trained on the labels, does not call toxic.
+
+    Null and empty texts, which get the models' biases, are judged like others; repeated rows are judged
+    alike; without labels all rows stay.
+    """
     chain = toxicity.train(docs, read_table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     scored = toxicity.score(docs, chain, prefix="__p_")
     return scored.where(F.col("__p_toxic") < toxicity.LIMIT).select(*docs.columns)
@@ -28,23 +36,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = keep(found.join(several, "component_id", "left_semi").join(ids, "__row"))
     first = members.groupBy("component_id").agg(F.min("id").alias("first"))
     gone = members.join(first, "component_id").where("__row <> first.__row").select("__row")
-    few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    gone = keep(gone)
+    few = gone.count() <= MOST_BROADCAST
     return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with what the forest holds for secrets replaced."""
+    """All documents, with what the forest holds for secrets replaced; null texts stay null, n_chars follows the text."""
     trees, words = secrets.model(docs)
     return secrets.redact(docs, trees, words)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: never, once or twice."""
+    """Documents as often as the mix takes them: never, once or twice. A null source is a source; rows without words are not taken."""
     return mixing.resample(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in a training sequence."""
+    """A row for each piece of a document in a training sequence. A null text is one token, the end of its document.
+
+    The target mixture is that which the stage before has made, so sources keep their shares in every window.
+    """
     return packing.with_crc(packing.pack(docs))
 
 
@@ -62,8 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    before = made()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = keep(docs)
+            sweep(spark, before, but=1)  # what the stage has read and made is in its result
     return docs
