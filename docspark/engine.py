@@ -22,9 +22,10 @@ from .errors import Closed, DocsparkError, InvalidDocument, InvalidOption, ReadO
 
 from .functions import values as V
 from .operators import mutations as M
-from .operators.indexing import Learner, policy
+from .operators.indexing import PRESETS, Learner, policy
 from .operators.structure import Structure, structure
 from .plans import syntax as S
+from .plans.guard import read_only
 from .plans.compiler import Bindings, Plan, Scope, column, compile_select
 from .catalog import FieldCatalog
 from .sources.backup import write_backup
@@ -69,7 +70,7 @@ class Engine:
     their collection; writers take a lock per collection, so concurrent engines do not lose updates.
     """
 
-    def __init__(self, spark: SparkSession, path: str = ":memory:", *, mode: str = "readwrite", durability: str = "balanced", max_open: int = 16, field_indexes: Any = "auto") -> None:
+    def __init__(self, spark: SparkSession, path: str = ":memory:", *, mode: str = "readwrite", durability: str = "balanced", max_open: int = 16, field_indexes: Any = "auto", lease_s: float = 600) -> None:
         if mode not in ("readwrite", "readonly"):
             raise InvalidOption("mode is readwrite or readonly")
         if durability not in ("strict", "balanced"):
@@ -78,6 +79,9 @@ class Engine:
             raise InvalidOption("a read-only engine needs a path")
         if not isinstance(max_open, int) or max_open < 1:
             raise InvalidOption("max_open is a positive number")
+        if lease_s < 0:
+            raise InvalidOption("lease_s is not negative")
+        self.lease_s = lease_s
         self.spark, self.readonly, self.durable, self.max_open = spark, mode == "readonly", durability == "strict", max_open
         self._temp = tempfile.TemporaryDirectory(prefix="docspark-", dir=_shared(spark)) if path == ":memory:" else None
         self.root = Path(self._temp.name if self._temp else path)
@@ -134,6 +138,7 @@ class Engine:
             return self._registered[low]
         store = self._store(name)
         body = store.read()
+        store.lease(body)
         with self._guard:
             kept = self._open.get(low)
             if kept is None or kept[0] != body["version"]:
@@ -239,13 +244,13 @@ class Engine:
         if not m:
             raise SyntaxProblem("write QUERY ON collection SELECT ... or EXPLAIN ...")
         self.frame(m[1] or m[2])
-        for name in {(m[1] or m[2]).lower(), *(n.lower() for n in self.collections())}:
-            self.frame(name).createOrReplaceTempView(f"`{name}`")
-        args = params if isinstance(params, (list, dict)) else None if params is None else [params]
+        sql, args = m[3], params if isinstance(params, (list, dict)) else None if params is None else [params]
         if isinstance(args, dict):
-            args = {k.lstrip("$"): v for k, v in args.items()}
-            return self.spark.sql(re.sub(r"\$(\w+)", r":\1", m[3]), args=args)
-        return self.spark.sql(m[3], args=args)
+            args, sql = {k.lstrip("$"): v for k, v in args.items()}, re.sub(r"\$(\w+)", r":\1", sql)
+        names = {(m[1] or m[2]).lower(), *(n.lower() for n in self.collections())}
+        for name in read_only(self.spark, sql, names):
+            self.frame(name).createOrReplaceTempView(f"`{name}`")
+        return self.spark.sql(sql, args=args)
 
     def bounded(self, statement: str, params: Any = None, limit: int = 500) -> tuple[list, bool]:
         """At most ``limit`` rows of one SELECT, and whether there were more."""
@@ -500,8 +505,27 @@ class Engine:
 
     def _learn(self, statement: str, plan: Plan, ms: float, rows: int) -> None:
         m = re.search(r"\bfrom\s+\"?([A-Za-z0-9_-]+)|^\s*find\s+\"?([A-Za-z0-9_-]+)", statement, re.I)
-        if m and plan.used:
-            self._learner(m[1] or m[2]).record(plan.used, ms, rows, time.time() * 1000)
+        if not m or not plan.used:
+            return
+        name = m[1] or m[2]
+        learner = self._learner(name)
+        learner.record(plan.used, ms, rows, time.time() * 1000)
+        if self.policy.mode == "auto" and learner.since >= (self.policy.auto or PRESETS["balanced"])["evaluation_interval"]:
+            self.evaluate(name)
+
+    def evaluate(self, name: str) -> dict:
+        """What the learner makes of the queries so far. Its action is taken (the next compaction lays out
+        accordingly) and its state stored; reading engines and registered frames only learn in memory."""
+        learner, now, stored = self._learner(name), time.time() * 1000, name.lower() not in self._registered
+        plan = learner.plan(self.policy, name, self._store(name).read()["rows"] if stored else 0, now)
+        learner.apply(plan["action"], now)
+        if stored and not self.readonly:
+            store = self._store(name)
+            with store.lock():
+                body = store.read()
+                if body["version"]:
+                    store.commit(body | {"learner": learner.state()}, body["version"])
+        return plan
 
     def optimize(self, name: str, *, dry_run: bool = False) -> dict:
         """Propose a layout change from what queries did, and, unless ``dry_run``, take it and compact."""
@@ -514,7 +538,7 @@ class Engine:
         return plan
 
     def vacuum(self, name: str) -> dict:
-        """Rewrite a collection as one compact part, laid out for its paths, and delete stale parts."""
+        """Rewrite a collection as one compact part, laid out for its paths, and delete the parts whose lease is over."""
         store = self._locked(name)
         with store.lock():
             body = store.read()
@@ -529,7 +553,8 @@ class Engine:
                 df = df.sortWithinPartitions(*[column(fields[p].path) for p in wanted[:3]])
             new = body | {"parts": [store.new_part(df, options)] if body["parts"] else [], "layout_paths": wanted, "learner": learner.state()}
             store.commit(new, body["version"])
-            return {"removed": store.sweep(new)} | store.sizes(new)
+            removed, leased = store.sweep(new, self.lease_s)
+            return {"removed": removed, "leased": leased} | store.sizes(new)
 
     def analyze(self, name: str) -> dict:
         """Row count and, by path, how many values it has: one job."""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import SyntaxProblem, UnknownFunction
-from .values import Value, bitwise, cell_of, common, compare, literal, match, null, number, output, text  # noqa: F401
+from .values import RANK, Value, bitwise, cell_of, common, compare, literal, match, null, number, output, text  # noqa: F401
 
 Fn = Callable[[list[Value]], Value]
 SCALARS: dict[str, Fn] = {}
@@ -40,8 +42,9 @@ def _strings(name: str, f: Callable[..., Column], least: int, most: int | None =
     define(name, least=least, most=most)(lambda a: Value(f(*[text(x) for x in a]), "text"))
 
 
-_strings("lower", F.lower, 1)
-_strings("upper", F.upper, 1)
+# Case is that of the letters A to Z alone.
+_strings("lower", lambda x: F.translate(x, ascii_uppercase, ascii_lowercase), 1)
+_strings("upper", lambda x: F.translate(x, ascii_lowercase, ascii_uppercase), 1)
 _strings("trim", lambda x, c=None: F.trim(x) if c is None else F.trim(x, c), 1, 2)
 _strings("ltrim", lambda x, c=None: F.ltrim(x) if c is None else F.ltrim(x, c), 1, 2)
 _strings("rtrim", lambda x, c=None: F.rtrim(x) if c is None else F.rtrim(x, c), 1, 2)
@@ -93,7 +96,26 @@ def _quote(a):
 def _printf(a):
     if not isinstance(a[0].literal, str):
         raise SyntaxProblem("printf takes a constant format")
-    return Value(F.format_string(a[0].literal, *[output(x) for x in a[1:]]), "text")
+    form, args, given = [], [], iter(a[1:])
+    for plain, spec in re.findall(r"([^%]+)|(%[-+ 0,#]*\d*(?:\.\d+)?(?:ll|l)?[A-Za-z%]|%)", a[0].literal):
+        if plain or spec == "%%":
+            form.append(plain or spec)
+            continue
+        kind = spec[-1]
+        if kind not in "disfgeExXoc":
+            raise SyntaxProblem(f"printf does not know {spec}")
+        # Each argument becomes what its place asks for; a missing one is 0 or empty.
+        x = next(given, null())
+        if kind in "di":
+            args.append(F.coalesce(number(x).col.cast("long"), F.lit(0).cast("long")))
+        elif kind in "xXo":
+            args.append(F.coalesce(number(x).col.cast("long"), F.lit(0).cast("long")))
+        elif kind in "fgeE":
+            args.append(F.coalesce(number(x).col.cast("double"), F.lit(0.0)))
+        else:
+            args.append(F.coalesce(text(x) if kind == "s" else F.substring(text(x), 1, 1), F.lit("")))
+        form.append(re.sub("l+", "", spec[:-1]) + {"i": "d", "c": "s"}.get(kind, kind))
+    return Value(F.format_string("".join(form), *args) if args else F.lit("".join(form).replace("%%", "%")), "text")
 
 
 def _choice(a: list[Value], f: Callable[[list[Column]], Column]) -> Value:
@@ -139,10 +161,15 @@ def _round(a):
     return Value(F.round(number(a[0]).col.cast("double"), max(0, digits)), "real")
 
 
+def _rounded(v: Value, f: Callable[[Column], Column]) -> Value:
+    """Whole numbers stay what they are, real ones stay real."""
+    return v if v.cls == "int" else Value(f(v.col.cast("double")).cast("double"), "real")
+
+
 define("sign")(lambda a: Value(F.signum(number(a[0]).col.cast("double")).cast("long"), "int"))
 for _name, _f in {"ceil": F.ceil, "ceiling": F.ceil, "floor": F.floor}.items():
-    define(_name)(lambda a, f=_f: Value(f(number(a[0]).col).cast("long"), "int"))
-define("trunc")(lambda a: Value(number(a[0]).col.cast("long"), "int"))
+    define(_name)(lambda a, f=_f: _rounded(number(a[0]), f))
+define("trunc")(lambda a: _rounded(number(a[0]), lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))))
 for _name in ("exp", "sin", "cos", "tan", "sinh", "cosh", "tanh", "atan", "degrees", "radians"):
     define(_name)(lambda a, f=getattr(F, _name): Value(f(number(a[0]).col.cast("double")), "real"))
 
@@ -256,12 +283,42 @@ def _json(v: Value) -> Column:
 def _json_extract(a):
     if not isinstance(a[1].literal, str):
         raise SyntaxProblem("json_extract takes a constant path")
-    return Value(F.get_json_object(_json(a[0]), a[1].literal), "text")
+    # Shown as text; where it is compared or reckoned with, it has its own type.
+    return Value(F.get_json_object(_json(a[0]), a[1].literal), "text", typed=_typed(_variant(a[0], a[1].literal)))
+
+
+def _variant(v: Value, path: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(_json(v)), path, "variant")
+
+
+def _typed(v: Column) -> Value:
+    """A JSON value as a cell: true and false are 1 and 0, arrays and objects their text."""
+    kind = F.schema_of_variant(v)
+    n = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    s = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json(v))
+    one = F.when(n.isNotNull(), F.struct(F.lit(RANK["int"]).alias("__rank"), F.lit("number").alias("__kind"), n.alias("__n"), F.lit(None).cast("string").alias("__s"), F.lit(None).cast("binary").alias("__b")))
+    return Value(one.when(s.isNotNull(), F.struct(F.lit(RANK["text"]).alias("__rank"), F.lit("string").alias("__kind"), F.lit(None).cast("double").alias("__n"), s.alias("__s"), F.lit(None).cast("binary").alias("__b"))), "cell")
+
+
+@define("json_arrow", least=2)
+def _json_arrow(a):
+    """What ``->`` gives: JSON text, with the quotes of strings."""
+    return Value(F.to_json(_variant(a[0], a[1].literal)), "text")
+
+
+@define("json_type", least=1, most=2)
+def _json_type(a):
+    path = a[1].literal if len(a) > 1 else "$"
+    if not isinstance(path, str):
+        raise SyntaxProblem("json_type takes a constant path")
+    v = _variant(a[0], path)
+    kind = F.schema_of_variant(v)
+    name = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "string")).when(kind == "BIGINT", "integer").when(kind == "STRING", "text")
+    return Value(F.when(v.isNotNull(), name.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("real")), "text")
 
 
 define("json_array_length")(lambda a: Value(F.json_array_length(_json(a[0])).cast("long"), "int"))
 define("json_valid")(lambda a: Value(F.try_parse_json(_json(a[0])).isNotNull().cast("long"), "int"))
-define("json_type")(lambda a: Value(F.schema_of_variant(F.try_parse_json(_json(a[0]))), "text"))
 define("random", least=0)(lambda a: Value((F.rand() * 2.0**62).cast("long"), "int"))
 
 

@@ -26,6 +26,7 @@ class Value:
     col: Column
     cls: str
     literal: Any = None
+    typed: Value | None = None  # what it is where it is compared or reckoned with, if not what it shows
 
 
 
@@ -90,6 +91,7 @@ def cell_of(v: Value) -> Column:
 
 def number(v: Value) -> Value:
     """Text counts by its numeric beginning, and other classes as 0."""
+    v = v.typed or v
     if v.cls in ("int", "real"):
         return v
     if v.cls == "bool":
@@ -138,6 +140,7 @@ def text(v: Value) -> Column:
 
 
 def compare(op: str, a: Value, b: Value) -> Value:
+    a, b = a.typed or a, b.typed or b
     if "null" in (a.cls, b.cls):
         return Value(F.lit(None).cast("boolean"), "bool")
     if "object" in (a.cls, b.cls):

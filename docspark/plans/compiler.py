@@ -167,7 +167,7 @@ class Scope:
         if e.op in ("->", "->>"):
             path = self.value(e.right).literal
             path = f"$[{path}]" if isinstance(path, int) else path if str(path).startswith("$") else f"$.{path}"
-            return registry.call("json_extract", [self.value(e.left), V.literal(path)])
+            return registry.call("json_arrow" if e.op == "->" else "json_extract", [self.value(e.left), V.literal(path)])
         negated = e.op == "!=" or e.op.startswith("not ")
         op = e.op.removeprefix("not ")
         if op in ("like", "glob", "regexp", "match"):

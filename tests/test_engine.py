@@ -238,3 +238,72 @@ def test_builder_and_register(engine, spark):
     assert engine.execute("QUERY ON nums SELECT sum(v) AS s FROM nums") == [{"s": 45}]
     plan = engine.query("SELECT v FROM nums WHERE v > 3")._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("mode", ["readwrite", "readonly"])
+def test_raw_statements_only_read_collections(spark, tmp_path, mode):
+    root, out = tmp_path / "db", tmp_path / "out"
+    with Engine(spark, str(root)) as e:
+        e.execute("INSERT INTO a", [{"k": i} for i in range(5)])
+        e.execute("INSERT INTO b", [{"k": 2, "n": "x"}])
+    with Engine(spark, str(root), mode=mode) as e:
+        for bad in (
+            f"QUERY ON a WITH w AS (SELECT k FROM a) INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT * FROM w",
+            f"QUERY ON a SELECT * FROM parquet.`{root}/a`",
+            f"QUERY ON a SELECT k FROM a WHERE k IN (SELECT k FROM parquet.`{root}/a`)",
+            "QUERY ON a WITH w AS (SELECT 1) SELECT * FROM elsewhere",
+            "QUERY ON a EXPLAIN CREATE TABLE t AS SELECT 1",
+        ):
+            with pytest.raises(DocsparkError):
+                e.execute(bad)
+        assert not out.exists()
+        assert e.execute("QUERY ON a WITH w AS (SELECT k FROM a WHERE k > $low) SELECT w.k, n FROM w JOIN b ON w.k = b.k", {"$low": 1}) == [{"k": 2, "n": "x"}]
+        assert e.execute("QUERY ON a SELECT k FROM a WHERE k IN (SELECT k FROM b)") == [{"k": 2}]
+        assert "Scan" in str(e.execute("QUERY ON a EXPLAIN SELECT k FROM a"))
+        recursive = "QUERY ON a WITH RECURSIVE r(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM r WHERE i < 4) SELECT count(*) AS n FROM r"
+        assert e.execute(recursive) == [{"n": 4}]
+
+
+def test_lost_files_are_errors(spark, tmp_path):
+    root = tmp_path / "db"
+    with Engine(spark, str(root)) as e:
+        e.load("c", spark.range(1000).withColumnRenamed("id", "k").repartition(4), "k")
+        assert e.execute("SELECT COUNT(*) AS n FROM c")[0]["n"] == 1000
+    next((root / "c").glob("part-*/*.parquet")).unlink()
+    with Engine(spark, str(root)) as e, pytest.raises(IntegrityError):
+        e.execute("SELECT COUNT(*) AS n FROM c")
+
+
+def test_readers_outlive_vacuum(spark, tmp_path):
+    with Engine(spark, str(tmp_path / "db")) as e:
+        e.execute("INSERT INTO c", [{"k": i} for i in range(5)])
+        df, rows = e.query("SELECT k FROM c"), e.stream("SELECT k FROM c", batch_size=2)
+        first = next(rows)
+        e.execute("UPDATE c SET k = k + 10")
+        assert e.vacuum("c")["leased"] >= 1
+        assert sorted(r.k for r in df.collect()) == [0, 1, 2, 3, 4]
+        assert len(first) + sum(map(len, rows)) == 5
+        e.lease_s = 0
+        assert e.vacuum("c")["leased"] == 0
+
+
+def test_function_results_have_their_types(spark):
+    with Engine(spark) as e:
+        e.execute("INSERT INTO f", [{"j": '{"k": 7, "s": "7", "b": true, "n": null, "a": [1, 2], "r": 1.5}', "x": 5.5, "t": "Éaé"}])
+        one = lambda expr: e.execute(f"SELECT {expr} AS v FROM f")[0]["v"]
+        assert one("JSON_EXTRACT(j, '$.k') = 7") == 1 and one("JSON_EXTRACT(j, '$.k') > 50") == 0 and one("JSON_EXTRACT(j, '$.s') = 7") == 0 and one("JSON_EXTRACT(j, '$.s') = '7'") == 1
+        assert one("JSON_EXTRACT(j, '$.b') = 1") == 1 and one("JSON_EXTRACT(j, '$.r') * 2") == 3
+        assert one("j -> '$.s'") == '"7"' and one("j ->> '$.s'") == "7"
+        assert [one(f"JSON_TYPE(j, '$.{k}')") for k in "ksbnar"] == ["integer", "text", "true", "null", "array", "real"] and one("JSON_TYPE(j)") == "object"
+        assert one("FLOOR(x) / 2") == 2.5 and one("CEIL(x) / 4") == 1.5 and one("TRUNC(-5.5)") == -5 and one("FLOOR(7) / 2") == 3
+        assert one("UPPER(t)") == "ÉAé" and one("LOWER(t)") == "Éaé"
+        assert one("PRINTF('%d|%05.1f|%s|%%', 5.5, x, 3)") == "5|005.5|3|%"
+
+
+def test_learner_evaluates_by_itself(spark, tmp_path):
+    root = tmp_path / "db"
+    with Engine(spark, str(root), field_indexes={"mode": "auto", "preset": "aggressive"}) as e:
+        e.load("c", spark.range(200).withColumnRenamed("id", "k"), "k")
+        for i in range(3):
+            e.execute("SELECT k FROM c WHERE k = ?", [i])
+        assert e._store("c").read()["learner"]["managed"].keys() == {"k"}
