@@ -163,7 +163,10 @@ def _round(a):
 
 def _rounded(v: Value, f: Callable[[Column], Column]) -> Value:
     """Whole numbers stay what they are, real ones stay real."""
-    return v if v.cls == "int" else Value(f(v.col.cast("double")).cast("double"), "real")
+    if v.cls == "int":
+        return v
+    x = v.col.cast("double")
+    return Value(F.when(F.abs(x) >= 2.0**53, x).otherwise(f(x).cast("double")), "real")
 
 
 define("sign")(lambda a: Value(F.signum(number(a[0]).col.cast("double")).cast("long"), "int"))

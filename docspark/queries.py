@@ -130,7 +130,7 @@ _add("order_distinct_hidden", "part", "SELECT DISTINCT p_brand FROM part ORDER B
 _add("limit_negative", "part", "SELECT p_size FROM part LIMIT -1 OFFSET 0", "SELECT p_partkey AS object_id, p_size FROM part")
 # Functions
 _add("fn_string", "part", "SELECT UPPER(p_name) AS u, LENGTH(p_name) AS n, SUBSTR(p_name, -3, 2) AS s, SUBSTR(p_name, 0, 3) AS z, REPLACE(p_brand, '#', '-') AS r, INSTR(p_type, 'A') AS i, p_brand || '/' || p_size AS c, TRIM('xx' || p_brand || 'x', 'x') AS t, HEX(p_brand) AS h FROM part", "SELECT p_partkey AS object_id, upper(p_name) AS u, length(p_name) AS n, substr(p_name, -3, 2) AS s, substr(p_name, 1, 2) AS z, replace(p_brand, '#', '-') AS r, instr(p_type, 'A') AS i, p_brand || '/' || p_size AS c, p_brand AS t, hex(p_brand) AS h FROM part")
-_add("fn_math", "events", "SELECT ABS(value - 50) AS a, ROUND(value, 1) AS r, SIGN(value - 50) AS s, FLOOR(value) AS f, CEIL(value) AS c, ROUND(SQRT(ABS(value)), 6) AS q, ROUND(POW(value, 2), 4) AS p FROM events", "SELECT event_id AS object_id, abs(value - 50) AS a, round(value, 1) AS r, CAST(sign(value - 50) AS BIGINT) AS s, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, round(sqrt(abs(value)), 6) AS q, round(pow(value, 2), 4) AS p FROM events")
+_add("fn_math", "events", "SELECT ABS(value - 50) AS a, ROUND(value, 1) AS r, SIGN(value - 50) AS s, FLOOR(value) AS f, CEIL(value) AS c, ROUND(SQRT(ABS(value)), 6) AS q, ROUND(POW(value, 2), 4) AS p FROM events", "SELECT event_id AS object_id, abs(value - 50) AS a, round(value, 1) AS r, CAST(sign(value - 50) AS BIGINT) AS s, floor(value) AS f, ceil(value) AS c, round(sqrt(abs(value)), 6) AS q, round(pow(value, 2), 4) AS p FROM events")
 _add("fn_null", "orders", "SELECT IFNULL(nowhere, 'x') AS a, NULLIF(o_orderstatus, 'F') AS b, IIF(o_custkey > 100, 'big', 'small') AS c, TYPEOF(o_totalprice) AS t FROM orders", "SELECT o_orderkey AS object_id, 'x' AS a, nullif(o_orderstatus, 'F') AS b, CASE WHEN o_custkey > 100 THEN 'big' ELSE 'small' END AS c, 'real' AS t FROM orders")
 _add("fn_date", "events", "SELECT DATE(ts / 1000, 'unixepoch') AS d, STRFTIME('%Y-%m', ts / 1000, 'unixepoch') AS m, ts AS ms FROM events", "SELECT event_id AS object_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%Y-%m') AS m, epoch_us(ts) // 1000 AS ms FROM events")
 _add("fn_json", "events", "SELECT JSON_EXTRACT(props, '$.k') AS k FROM events", "SELECT event_id AS object_id, props->>'k' AS k FROM events")
@@ -138,6 +138,18 @@ _add("fn_bitwise", "orders", "SELECT o_custkey & 7 AS a, o_custkey | 8 AS b, o_c
 _add("fn_int_div", "orders", "SELECT o_custkey / 7 AS q, o_custkey % 7 AS r, o_totalprice / 2.0 AS h FROM orders", "SELECT o_orderkey AS object_id, o_custkey // 7 AS q, o_custkey % 7 AS r, o_totalprice / 2 AS h FROM orders")
 _add("fn_div_zero", "orders", "SELECT o_custkey / 0 AS a, o_custkey % 0 AS b, o_totalprice / 0 AS c FROM orders", "SELECT o_orderkey AS object_id, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS c FROM orders")
 _add("fn_text_number", "part", "SELECT '3x' * 2 AS a, p_brand + 1 AS b FROM part", "SELECT p_partkey AS object_id, CAST(6 AS BIGINT) AS a, CAST(1 AS DOUBLE) AS b FROM part")
+_add("fn_json_compare", "events", "SELECT COUNT(*) AS n, MAX(value) AS v FROM events WHERE JSON_EXTRACT(props, '$.k') > 50 AND JSON_EXTRACT(props, '$.k') <> 69", "SELECT count(*) AS n, max(value) AS v FROM events WHERE CAST(props->>'k' AS BIGINT) > 50 AND CAST(props->>'k' AS BIGINT) <> 69")
+_add("fn_json_type", "events", "SELECT JSON_TYPE(props) AS t, JSON_TYPE(props, '$.k') AS k, props -> '$.k' AS j FROM events", "SELECT event_id AS object_id, lower(json_type(props)) AS t, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'real' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'null' END AS k, CAST(props->'$.k' AS VARCHAR) AS j FROM events")
+_add("fn_floor_div", "events", "SELECT FLOOR(value) / 2 AS f, CEIL(value) / 4 AS c, TRUNC(0 - value) AS t, FLOOR(user_id) / 2 AS w FROM events", "SELECT event_id AS object_id, floor(value) / 2 AS f, ceil(value) / 4 AS c, trunc(0 - value) + 0 AS t, user_id // 2 AS w FROM events")
+_add("fn_case", "documents", "SELECT UPPER(text) AS u, LOWER(text) AS l FROM documents", "SELECT doc_id AS object_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents")
+_add("fn_printf", "orders", "SELECT PRINTF('%05d|%.2f|%s|%x', o_custkey, o_totalprice, o_orderstatus, o_orderkey) AS p, PRINTF('%d', o_totalprice) AS d FROM orders", "SELECT o_orderkey AS object_id, printf('%05d|%.2f|%s|%x', o_custkey, o_totalprice, o_orderstatus, o_orderkey) AS p, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) AS d FROM orders")
+_add("fn_like_glob", "part", "SELECT LIKE('%A%', p_name) AS l, GLOB('*a*', p_name) AS g FROM part", "SELECT p_partkey AS object_id, CAST(p_name ILIKE '%a%' AS BIGINT) AS l, CAST(p_name GLOB '*a*' AS BIGINT) AS g FROM part")
+_add("fn_concat", "part", "SELECT CONCAT(p_brand, '-', p_size) AS c, CONCAT_WS('/', p_brand, p_type) AS w FROM part", "SELECT p_partkey AS object_id, p_brand || '-' || p_size AS c, p_brand || '/' || p_type AS w FROM part")
+_add("filter_regexp", "part", "SELECT p_brand FROM part WHERE p_brand REGEXP '#[1-3]' AND NOT p_name REGEXP '[0-9]5$'", "SELECT p_partkey AS object_id, p_brand FROM part WHERE regexp_matches(p_brand, '#[1-3]') AND NOT regexp_matches(p_name, '[0-9]5$')")
+_add("literal_booleans", "orders", "SELECT o_custkey > 50 AND true AS t, false AS f FROM orders WHERE true", "SELECT o_orderkey AS object_id, CAST(o_custkey > 50 AS BIGINT) AS t, CAST(0 AS BIGINT) AS f FROM orders")
+_add("order_ordinal", "orders", "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY 2 DESC, 1 LIMIT 3", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+_add("filter_ambiguous_is_not", "party_docs", "SELECT key FROM party_docs WHERE name IS NOT NULL", f"SELECT c_custkey AS object_id, c_custkey AS key FROM {_PARTY_DOCS} WHERE c_name IS NOT NULL OR s.s_name IS NOT NULL")
+_add("group_by_array", "order_docs", "SELECT COUNT(*) AS n, MIN(o_orderkey) AS lo FROM order_docs GROUP BY lines", "SELECT count(*) AS n, min(o_orderkey) AS lo FROM (SELECT o_orderkey, (SELECT list((l_linenumber, l_quantity) ORDER BY l_linenumber, l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders) GROUP BY lines")
 
 
 # Mutations, on a collection loaded with all orders
@@ -170,6 +182,9 @@ _add_mutation("upsert_miss", f"{_O} UNION ALL SELECT (SELECT max(o_orderkey) FRO
 _add_mutation("replace_doc", f"SELECT object_id, CASE WHEN o_custkey = 3 THEN NULL ELSE o_orderkey END AS o_orderkey, o_custkey, CASE WHEN o_custkey = 3 THEN 'R' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey = 3 THEN NULL ELSE o_totalprice END AS o_totalprice FROM ({_O})", ("REPLACE INTO o WHERE o_custkey = $o_custkey", {"o_custkey": 3, "o_orderstatus": "R"}))
 _add_mutation("unset_path", f"SELECT * REPLACE (CASE WHEN o_custkey > 100 THEN NULL ELSE o_totalprice END AS o_totalprice) FROM ({_O})", ("UNSET o_totalprice FROM o WHERE o_custkey > 100", None))
 _add_mutation("delete_where", f"{_O} WHERE NOT o_totalprice > 100000", ("DELETE FROM o WHERE o_totalprice > 100000", None))
+_TEN = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"
+_add_mutation("update_limit", f"SELECT * REPLACE (CASE WHEN o_orderkey IN ({_TEN}) THEN 'T' ELSE o_orderstatus END AS o_orderstatus) FROM ({_O})", ("UPDATE o WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", {"o_orderstatus": "T"}))
+_add_mutation("delete_limit", f"{_O} WHERE o_orderkey NOT IN ({_TEN})", ("DELETE FROM o WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", None))
 
 # Structure, streaming, raw passthrough
 _QUERIES["structure_types"] = lambda spark, d: structure_table(_event_docs(spark, d))
@@ -198,6 +213,10 @@ _QUERIES["raw_query"] = lambda spark, d: engine(spark, d, "orders").raw("QUERY O
 _ORACLES["raw_query"] = "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) WHERE n > 1 GROUP BY 1"
 _QUERIES["raw_window_join"] = lambda spark, d: engine(spark, d, "orders", "customer").raw("QUERY ON orders SELECT o_orderkey, c_name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders JOIN customer ON o_custkey = c_custkey")
 _ORACLES["raw_window_join"] = "SELECT o_orderkey, c_name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders JOIN customer ON o_custkey = c_custkey"
+_QUERIES["raw_recursive"] = lambda spark, d: engine(spark, d, "orders").raw("QUERY ON orders WITH RECURSIVE r(i) AS (SELECT 0 UNION ALL SELECT i + 1 FROM r WHERE i < 9) SELECT i, count(*) AS n FROM r JOIN orders ON o_custkey % 10 = i GROUP BY i")
+_ORACLES["raw_recursive"] = "SELECT CAST(o_custkey % 10 AS INTEGER) AS i, count(*) AS n FROM orders GROUP BY 1"
+_QUERIES["reference_join"] = lambda spark, d: engine(spark, d, "orders", "customer_docs").raw("QUERY ON orders SELECT o_orderkey, c.name, c.profile.segment AS segment FROM orders JOIN customer_docs c ON o_custkey = c.object_id")
+_ORACLES["reference_join"] = "SELECT o_orderkey, c_name AS name, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
 def queries() -> dict[str, Query]:
