@@ -80,6 +80,14 @@ def sweep(spark: SparkSession, since: int, but: int = 0) -> None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     del _made[since:end]
+    clean(spark)
+
+
+def clean(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of frames that no one holds: it does so only when the driver
+    collects its garbage, which a large heap puts off; that heap shrinks, too."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def give_back() -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, shingle_sets
-from .common import keep, tidy
+from .common import clean, keep, tidy
 from .components import components
 
 #: Largest number of prefix shingles that two documents must share before verification.
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
         spokes = keep(spokes.select(F.col("h.node").alias("hub"), F.col("h.n").alias("nh"), F.col("h.comp").alias("ch"), "node", "n", "alone", "comp").dropDuplicates(["hub", "node"]))
         now, linked = _apart(spokes, sets_of(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b"))), percent)
         more.append(linked)
+        clean(spark)
     pairs = reduce(DataFrame.union, asked).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = reduce(DataFrame.union, [verified(keep(pairs)), *more])
     if more.count():

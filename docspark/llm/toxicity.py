@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import give_back, tidy
+from .common import clean, give_back, tidy
 
 #: The largest number of labelled documents to train on, taken by hash; all documents are scored.
 MAX_TRAIN = 12_000
@@ -243,6 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
     chain = Chain.train(sets, y, got["fold"].to_numpy()[order], list(categories))
     del got, y
     give_back()
+    clean(docs.sparkSession)
     return chain
 
 
