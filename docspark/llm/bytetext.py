@@ -8,12 +8,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import at_task_end
+
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_P), -1, 1 << 64))
 _powers = np.ones(1, _U), np.ones(1, _U)
 
 
+@at_task_end
+def _forget() -> None:
+    global _powers
+    _powers = np.ones(1, _U), np.ones(1, _U)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -21,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64 and of its inverse, at least ``n``; kept for the worker."""
+    """Powers of an odd number modulo 2**64 and of its inverse, at least ``n``; kept for the task."""
     global _powers
     if len(_powers[0]) < n:
         size = 1 << max(20, (n - 1).bit_length())

@@ -90,10 +90,22 @@ def clean(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What drops the tables that a module keeps between calls.
+_forget: list[Callable[[], None]] = []
+
+
+def at_task_end(forget: Callable[[], None]) -> Callable[[], None]:
+    """Call ``forget`` whenever a task ends."""
+    _forget.append(forget)
+    return forget
+
+
 def give_back() -> None:
     """Return memory that is free to the system: Python workers live on from task to task, and so does what they hold."""
     import pyarrow as pa
 
+    for forget in _forget:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -102,7 +114,7 @@ def give_back() -> None:
 
 
 #: Rows and bytes of an Arrow batch at most: a batch of long texts lies outside the JVM's heap, twice while it grows, and again in Python.
-BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 

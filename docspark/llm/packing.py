@@ -69,21 +69,27 @@ def schedule(totals: np.ndarray, weights: np.ndarray, unit: int) -> tuple[np.nda
     for lane in range(n):
         room, before = min(unit, total - lane * unit), upto[lane]
         owed[lane] = ideal - before
-        # Fluid shares of this lane's tokens; queues that run dry in it leave their part to the others.
-        give, left, open_ = np.zeros(s), float(room), totals - ideal > 1e-9
-        while left > 1e-9 and open_.any():
-            part = np.where(open_, weights, 0.0)
-            part = part / part.sum() if part.sum() > 0 else open_ / open_.sum()
-            got = np.minimum(left * part, totals - ideal - give)
-            give += got
-            left -= got.sum()
-            open_ = totals - ideal - give > 1e-9
+        give = fluid(room, totals - ideal, weights)
         shares[lane] = give / max(give.sum(), 1e-9)
         ideal = np.minimum(ideal + give, totals)
         upto[lane + 1] = before + whole(ideal - before, totals - before, room)
     return upto, shares, owed
 
 
+def fluid(room: float, left: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``room`` tokens split by weight, none above what its queue has left; a queue that runs dry leaves its part to the others."""
+    give, rest = np.zeros(len(left)), float(room)
+    open_ = left > 1e-9
+    while rest > 1e-9 and open_.any():
+        part = np.where(open_, weights, 0.0)
+        part = part / part.sum() if part.sum() > 0 else open_ / open_.sum()
+        got = np.minimum(rest * part, left - give)
+        give += got
+        rest -= got.sum()
+        open_ = left - give > 1e-9
+    return give
+
+
 def whole(want: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
     """Whole numbers near ``want``, from 0 to ``most``, that sum to ``room``; the largest remainders go first."""
     take = np.clip(np.floor(want + 1e-9), 0, most).astype(np.int64)
@@ -98,14 +104,14 @@ def whole(want: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
     return take
 
 
-def fill(queues: list[np.ndarray], share: np.ndarray, owed: np.ndarray, counts: np.ndarray, window: int, sequence: int) -> list[tuple[int, int, int, int, int]]:
+def fill(queues: list[np.ndarray], weights: np.ndarray, owed: np.ndarray, counts: np.ndarray, window: int, sequence: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (queue, row, start in the row, length, position in the lane) of one lane by deficit
     round-robin. ``queues``: the lengths of each queue's rows."""
     left, owed = counts.copy(), owed.copy()
     takes = []
     while left.sum() > 0:
         room = int(min(window, left.sum()))
-        owed = owed + room * share
+        owed = owed + fluid(room, left, weights)
         take = whole(owed, left, room)
         owed, left = owed - take, left - take
         takes.append(take)
@@ -167,7 +173,7 @@ def pack(
     share = np.array([float(weights.get(s, 0.0)) for s in names])
     unit = sequence * window * lane
     unit *= max(1, -(-int(totals.sum()) // (unit * MOST_LANES)))
-    upto, shares, owed = schedule(totals, share, unit)
+    upto, _, owed = schedule(totals, share, unit)
     index = {s: i for i, s in enumerate(names)}
     small = base.count() <= MOST_BROADCAST
     starts = base.select(F.col("source").alias("s"), F.col("task").alias("t"), "base")
@@ -201,7 +207,7 @@ def pack(
         queues = [np.flatnonzero(where == i) for i in range(len(names))]
         length, start, first = g["length"].to_numpy(), g["start"].to_numpy(), k * (unit // sequence)
         rows, out, last, ids = [], [], None, b""
-        for i, r, a, n, pos in fill([length[q] for q in queues], shares[k], owed[k], upto[k + 1] - upto[k], sequence * window, sequence):
+        for i, r, a, n, pos in fill([length[q] for q in queues], share, owed[k], upto[k + 1] - upto[k], sequence * window, sequence):
             row = int(queues[i][r])
             if row != last:
                 last, ids = row, np.frombuffer(unzip.decompress(g["ids"][row].as_py()), "<u2").astype("<u4")

@@ -30,8 +30,8 @@ LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 4.0, 600
 #: Buckets of the rough count of features, before the exact one.
 BUCKETS = 1 << 23
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Words whose features a scorer remembers: about 10 MB a worker.
-REMEMBER = 50_000
+#: Words whose features a scorer remembers: about 4 MB a worker.
+REMEMBER = 20_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>!]")
 
