@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,12 +26,17 @@ FINE = 1 / 20_000
 GROUP_PART = 0.25
 
 
-def _strings(c: Column) -> Column:
-    """A number that orders strings by their first six bytes."""
-    head = F.substring(F.rpad(F.hex(F.encode(F.coalesce(c, F.lit("")), "utf-8")), 12, "0"), 1, 12)
+def _strings(c: Column, skip: int) -> Column:
+    """A number that orders strings by six bytes after the ``skip`` that all of them share; empty ones and nulls come first."""
+    head = F.rpad(F.substring(F.hex(F.encode(F.coalesce(c, F.lit("")), "utf-8")), 2 * skip + 1, 12), 12, "0")
     return F.conv(head, 16, 10).cast("double")
 
 
+def _shared(lo: str | None, hi: str | None) -> int:
+    """Bytes that all strings from ``lo`` to ``hi`` begin with."""
+    return len(commonprefix([(lo or "").encode(), (hi or "").encode()]))
+
+
 def assign(rows: DataFrame, n_shards: int | None, target_bytes: int | None, dims: list[str]) -> tuple[DataFrame, int]:
     """Give each row (doc_id, size, group, ``dims`` as numbers) its leaf; returns also the number of leaves."""
     head = rows.agg(F.sum("size").alias("w"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).first()
@@ -41,9 +47,9 @@ def assign(rows: DataFrame, n_shards: int | None, target_bytes: int | None, dims
     cap = max(1.0, GROUP_PART * total / leaves)
     hot = [r.group for r in groups.where(F.col("w") > cap).select("group").collect()]
     is_hot = F.col("group").isin(hot) if hot else F.lit(False)
-    same = rows.where(~is_hot).drop(*dims).join(groups.where(~is_hot).select("group", F.col("m").alias("m")), "group")
+    same = rows.where(~is_hot).drop("row", *dims).join(groups.where(~is_hot).select("group", F.col("m").alias("m")), "group")
     same = same.select("doc_id", "size", "text_crc32", "group", F.xxhash64("group").alias("u"), *[F.col(f"m.{d}").alias(d) for d in dims])
-    own = rows.where(is_hot).select("doc_id", "size", "text_crc32", "group", F.xxhash64("group", "doc_id").alias("u"), *dims)
+    own = rows.where(is_hot).select("doc_id", "size", "text_crc32", "group", F.xxhash64("group", "doc_id", "row").alias("u"), *dims)
 
     def key(d: str) -> Column:
         lo, hi = float(head[f"lo_{d}"] or 0), float(head[f"hi_{d}"] or 0)
@@ -111,15 +117,18 @@ def shard(docs: DataFrame, *, n_shards: int | None = 16, target_bytes: int | Non
 
     ``n_shards`` leaves, or as many as ``target_bytes`` asks for. Null text counts as empty bytes,
     null metadata as the empty string; rows with equal keys and texts tie, and are then told apart
-    arbitrarily; an empty table gives an empty result; other columns are not read.
+    by their place in the table; an empty table gives an empty result; other columns are not read.
     """
+    lang_, source_ = F.col(lang).cast("string"), F.col(source).cast("string")
+    ends = docs.agg(*[f(F.when(c != "", c)).alias(f"{n}{i}") for i, f in enumerate((F.min, F.max)) for n, c in (("lang", lang_), ("source", source_))]).first()
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1
     rows = keep(
         docs.select(
             F.col(key).alias("doc_id"), size.alias("size"), F.crc32(raw).cast("long").alias("text_crc32"),
             F.concat_ws("-", F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.crc32(raw), size).alias("group"),
-            F.log2(size).alias("bytes"), _strings(F.col(lang)).alias("lang"), _strings(F.col(source)).alias("source"),
+            F.log2(size).alias("bytes"), _strings(lang_, _shared(ends.lang0, ends.lang1)).alias("lang"), _strings(source_, _shared(ends.source0, ends.source1)).alias("source"),
+            F.monotonically_increasing_id().alias("row"),  # written once, so it stays
         )
     )
     got, leaves = assign(rows, n_shards, target_bytes, ["bytes", "lang", "source"])

@@ -9,6 +9,7 @@ the partial aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,15 +27,15 @@ def budgets(sizes: dict[str | None, int], weights: Sequence[float], share: float
     """Words for each source: ``share`` of all words split by weight, none above ``most`` times
     its source; what is above goes to the others by weight until none is above.
 
-    Sources are taken by code point, null last; weights repeat along that order.
+    Sources are taken by code point, null last; weights repeat along that order. A weight of 0 takes nothing.
     """
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
     left, out = share * sum(sizes.values()), {}
-    open_ = sorted(order, key=lambda s: most * sizes[s] / weight[s])
+    open_ = sorted(order, key=lambda s: most * sizes[s] / weight[s] if weight[s] > 0 else math.inf)
     total = sum(weight.values())
     for s in open_:
-        got = min(most * sizes[s], left * weight[s] / total if total > 0 else 0.0)
+        got = min(most * sizes[s], left * weight[s] / total if weight[s] > 0 else 0.0)
         out[s], left, total = got, left - got, total - weight[s]
     return out
 
