@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import chunks, mix, powers, prefix_sums
@@ -91,30 +91,22 @@ def _parts(column: pa.Array, span: int) -> Iterator[tuple[np.ndarray, np.ndarray
                     yield np.array([lo + i]), np.array([at]), part, np.array([0, len(part)])
 
 
-def text_hash(data: np.ndarray) -> int:
-    return xxhash.xxh32_intdigest(data) - (1 << 31)
-
-
-def _hashes(column: pa.Array) -> np.ndarray:
-    return np.array([text_hash(data[a:b]) for _, _, data, offsets in chunks(column) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int32)
-
-
-_SUFFIXES = "doc_id long, th int, lo int, n short, p short, kh long, ch long"
+_SUFFIXES = "doc_id long, th long, lo int, n short, p short, kh long, ch long"
 
 
 def _suffixes(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes = b.column("doc_id"), _hashes(b.column("text"))
+            ids, hashes = b.column("doc_id"), b.column("th")
             for rows, shift, data, offsets in _parts(b.column("text"), span):
                 text, lo, n, at, digit = elect(data, offsets, span)
                 if not len(lo):
                     continue
                 view = memoryview(data)
                 context = [xxhash.xxh3_64_intdigest(view[a : a + k + span - 1], p - a) for a, k, p in zip(lo.tolist(), n.tolist(), at.tolist(), strict=True)]
-                row = rows[text]
+                row = pa.array(rows[text])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), pa.array(hashes[row]), pa.array((lo - offsets[text] + shift[text]).astype(np.int32)), pa.array(n.astype(np.int16)),
+                    [ids.take(row), hashes.take(row), pa.array((lo - offsets[text] + shift[text]).astype(np.int32)), pa.array(n.astype(np.int16)),
                      pa.array((at - lo).astype(np.int16)), pa.array(digit.view(np.int64)), pa.array(np.array(context, _U).view(np.int64))],
                     ["doc_id", "th", "lo", "n", "p", "kh", "ch"],
                 )
@@ -122,7 +114,7 @@ def _suffixes(span: int):
     return tidy(run)
 
 
-_BODY = "doc_id long, th int, lo int, n short, p short, kh long, many byte, body binary"
+_BODY = "doc_id long, th long, lo int, n short, p short, kh long, many byte, body binary"
 
 
 def _bodies(span: int):
@@ -130,17 +122,16 @@ def _bodies(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tasks, hashes = b.column("doc_id").to_pylist(), b.column("tasks"), _hashes(b.column("text"))
+            ids, tasks, hashes = b.column("doc_id").to_pylist(), b.column("tasks"), b.column("th").to_pylist()
             for row0, _, data, offsets in chunks(b.column("text")):
                 view, out = memoryview(data), []
                 for row, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), row0):
-                    th = int(hashes[row])
                     for t in tasks[row].as_py():
                         end = x + t["lo"] + t["n"] + span - 1
-                        if t["th"] == th and end <= y:
-                            out.append((ids[row], th, t["lo"], t["n"], t["p"], t["kh"], t["many"], view[x + t["lo"] : end].tobytes()))
+                        if end <= y:
+                            out.append((ids[row], hashes[row], t["lo"], t["n"], t["p"], t["kh"], t["many"], view[x + t["lo"] : end].tobytes()))
                 if out:
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int8(), pa.binary()]
+                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int8(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "th", "lo", "n", "p", "kh", "many", "body"])
 
     return tidy(run)
@@ -183,15 +174,13 @@ def _bands(span: int, digit: int, width: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cuts, out, row = b.column("cuts"), [], 0
-        hashes = _hashes(b.column("text"))
         for _, _, data, offsets in chunks(b.column("text")):
             for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 body = data[x:y]
                 edge = np.zeros(len(body) + 1, np.int64)
                 for c in cuts[row].as_py() or ():
-                    if c["th"] == hashes[row]:
-                        edge[c["a"]] += 1
-                        edge[c["b"]] -= 1
+                    edge[c["a"]] += 1
+                    edge[c["b"]] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 out.append((len(body), int(gone.sum()), spans, body[~gone].tobytes()))
@@ -206,23 +195,25 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, key: str = "doc_id", te
 
     Null texts are empty; texts shorter than ``span`` stay; repeated rows repeat each other; an empty
     table gives an empty result; other columns are not read. Equality is by pairs of 64-bit hashes.
+    Rows are told apart by id and a 64-bit hash of their text, so ids may be null or shared.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     suffixes = keep(rows.mapInArrow(_suffixes(span), _SUFFIXES))
     # First digit: groups of one leave.
-    digits = suffixes.groupBy("kh").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("kh")
+    # Frequent digits are kept as tables, so both sides of a join are plain shuffles, of which Spark can split a large group.
+    digits = keep(suffixes.groupBy("kh").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("kh"))
     grouped = keep(suffixes.join(digits, "kh", "left_semi"))
     # Second digit.
     contexts = grouped.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "lo", "n", "p")).alias("r"))
     contexts = keep(contexts)
-    several = contexts.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh")
+    several = keep(contexts.groupBy("kh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kh"))
     equal = contexts.where("c > 1").select("kh", "ch")
     end = (F.col("lo") + F.col("n") + F.lit(span - 1)).cast("int")
     whole = grouped.join(equal, ["kh", "ch"], "left_semi").select("doc_id", "th", F.col("lo").alias("a"), end.alias("b"))
     # Further digits for the groups that the second split.
     split = contexts.join(several, "kh", "left_semi").select("kh", (F.col("c") > 1).cast("tinyint").alias("many"), "r.doc_id", "r.th", "r.lo", "r.n", "r.p")
-    tasks = keep(split.groupBy("doc_id").agg(F.collect_list(F.struct("th", "kh", "lo", "n", "p", "many")).alias("tasks")))
-    listed = _only(rows, tasks).join(tasks, rows["doc_id"].eqNullSafe(tasks["doc_id"])).select(rows["doc_id"], "text", "tasks")
+    tasks = keep(split.groupBy("doc_id", "th").agg(F.collect_list(F.struct("kh", "lo", "n", "p", "many")).alias("tasks")))
+    listed = _only(rows, tasks).join(tasks, _same(rows, tasks)).select(rows["doc_id"], rows["th"], "text", "tasks")
     bodies = keep(listed.mapInArrow(_bodies(span), _BODY).withColumn("id", F.monotonically_increasing_id()))
     todo = bodies.select("id", F.lit(0).cast("short").alias("s"), "n", "many", "p", "kh", "body")
     for width in BANDS:
@@ -237,16 +228,20 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, key: str = "doc_id", te
             several = same.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core")
             on = same.join(several, "core", "left_semi").select("r.id", "r.s", "r.n", (F.col("c") > 1).cast("tinyint").alias("many"))
             todo = on.join(bodies.select("id", "p", "kh", "body"), "id").select("id", "s", "n", "many", "p", "kh", "body")
-    cuts = keep(whole.groupBy("doc_id").agg(F.collect_list(F.struct("th", "a", "b")).alias("cuts")))
+    cuts = keep(whole.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("cuts")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     if _small(cuts):
-        touched = F.broadcast(cuts.select(F.col("doc_id").alias("k")))
-        hit = rows.join(touched, rows["doc_id"].eqNullSafe(F.col("k")), "left_semi")
-        rest = rows.join(touched, rows["doc_id"].eqNullSafe(F.col("k")), "left_anti")
-        cut = hit.join(cuts, hit["doc_id"].eqNullSafe(cuts["doc_id"])).select(hit["doc_id"], "text", "cuts").mapInArrow(tidy(_cut), schema)
+        touched = F.broadcast(cuts.select("doc_id", "th"))
+        hit = rows.join(touched, _same(rows, touched), "left_semi")
+        rest = rows.join(touched, _same(rows, touched), "left_anti")
+        cut = hit.join(cuts, _same(hit, cuts)).select(hit["doc_id"], "text", "cuts").mapInArrow(tidy(_cut), schema)
         raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
         return cut.unionByName(rest.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept")))
-    return rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["doc_id"]), "left").select(rows["doc_id"], "text", "cuts").mapInArrow(tidy(_cut), schema)
+    return rows.join(cuts, _same(rows, cuts), "left").select(rows["doc_id"], "text", "cuts").mapInArrow(tidy(_cut), schema)
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
 def _small(table: DataFrame) -> bool:
@@ -257,7 +252,8 @@ def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` without those that ``wanted`` lacks, where its ids are few enough to tell before the shuffle."""
     if not _small(wanted):
         return rows
-    return rows.join(F.broadcast(wanted.select(F.col("doc_id").alias("k"))), rows["doc_id"].eqNullSafe(F.col("k")), "left_semi")
+    few = F.broadcast(wanted.select("doc_id", "th"))
+    return rows.join(few, _same(rows, few), "left_semi")
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -162,6 +162,8 @@ def test_budgets_are_shared_again():
     got = mixing.budgets({"a": 10, "b": 100, None: 100}, (5, 2, 1), 1.5, 2)
     assert got["a"] == 20 and got["b"] == pytest.approx(295 * 2 / 3) or got["b"] == 200
     assert sum(got.values()) == pytest.approx(315)
+    assert mixing.budgets({"a": 10, "b": 100}, (0, 1), 1.5, 2) == {"a": 0.0, "b": pytest.approx(165)}
+    assert mixing.budgets({"a": 10, "b": 100}, (0, 0), 1.5, 2) == {"a": 0.0, "b": 0.0}
 
 
 def test_sharding(docs, empty):
@@ -178,6 +180,19 @@ def test_sharding(docs, empty):
     assert kd_sharding.shard(empty, n_shards=4).count() == 0
 
 
+def test_sharding_of_repeated_rows_and_long_names(spark):
+    rows = [(1, "first " * 20, None, "https://example.org/a")] * 40 + [(2, "second " * 20, "en", "https://example.org/b")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    load = Counter()
+    for r in kd_sharding.shard(df, n_shards=8).collect():
+        load[r.shard] += r.size
+    assert set(load) == set(range(8)) and max(load.values()) <= sum(load.values()) / 8 + 141
+    kinds = [(i, f"text number {i} of many", "en", f"common_crawl_{'ab'[i % 2]}") for i in range(200)]  # split by source: all else is alike
+    kinds = spark.createDataFrame(kinds, df.schema)
+    got = kd_sharding.shard(kinds.withColumn("text", F.lpad("text", 30, "x")), n_shards=2).collect()
+    assert {(r.shard, r.doc_id % 2) for r in got} == {(0, 0), (1, 1)}
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "user", "hi"), (1, 2, "assistant", "a\\b ### x </turn>"), (1, 1, "user", None), (1, 3, "assistant", "\\h"), (2, 0, None, "r\n"), (2, None, "as\nk:", "\\+"), (None, 0, "assistant", "end"), (1, 3, "assistant", "\\h")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
@@ -230,7 +245,7 @@ def test_collision_rate_is_generalised_jaccard():
         assert weighted_sampling.likeness(s(a), s(b)) == pytest.approx(sum((x & y).values()) / sum((x | y).values()), abs=0.1)
 
 
-def test_suffix_dedup(docs, empty):
+def cut_by_brute_force(docs):
     raw = [(i, t.encode()) for i, t in rows_of(docs)]
     c = Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
     want = Counter()
@@ -241,10 +256,32 @@ def test_suffix_dedup(docs, empty):
                 gone[k : k + 200] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         want[i, len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op10(docs).collect()) == want
+    return want
+
+
+def cut(docs):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op10(docs).collect())
+
+
+def test_suffix_dedup(docs, empty):
+    assert cut(docs) == cut_by_brute_force(docs)
     assert suffix_dedup.op10(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 0])
+def test_suffix_dedup_of_null_and_shared_ids(spark, monkeypatch, most):
+    if most is not None:  # by shuffles instead of broadcasts
+        monkeypatch.setattr(suffix_dedup, "MOST_BROADCAST", most)
+    rng = np.random.default_rng(11)
+    passage = [" ".join(rng.choice(WORDS, 60)) for _ in range(3)]
+    rows = [([None, 7, 7, -(2**62)][i % 4], f"{i} head {passage[i % 3][: 300 - 9 * i]} tail {i} " + " ".join(rng.choice(WORDS, 20))) for i in range(16)]
+    rows += [rows[1], rows[0], (None, None), (None, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = cut_by_brute_force(df)
+    assert any(removed for _, _, removed, _, _ in want)
+    assert cut(df) == want
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(2)
     rows, labels = [], []
