@@ -10,6 +10,7 @@ one pass without a shuffle.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -109,25 +110,37 @@ class Chain:
                 if rough[hash(f) % BUCKETS] >= LEAST_DOCS:
                     counts[f] = counts.get(f, 0) + 1
         del rough
-        names = [f for f, n in counts.items() if n >= LEAST_DOCS]
+        for f in [f for f, n in counts.items() if n < LEAST_DOCS]:
+            del counts[f]
+        index = dict(zip(counts, range(len(counts)), strict=True))
         del counts
-        index = {f: i for i, f in enumerate(names)}
-        cols = [np.fromiter((index[f] for f in bag if f in index), np.int32) for bag in bags()]
-        n_docs = len(cols)
-        where = np.repeat(np.arange(n_docs, dtype=np.int32), [len(c) for c in cols])
-        flat = np.concatenate(cols) if cols else np.zeros(0, np.int32)
-        del cols
+        names = list(index)
+        # All documents' features one after another, 4 bytes each, and where each document ends.
+        grown, ends = array("i"), [0]
+        for bag in bags():
+            grown.extend([index[f] for f in bag if f in index])
+            ends.append(len(grown))
+        del index
+        n_docs, flat, upto = len(ends) - 1, np.frombuffer(grown, np.int32), np.array(ends, np.int64)
+
+        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """(documents, features), a million at a time."""
+            for lo in range(0, len(flat), 1 << 20):
+                hi = min(len(flat), lo + (1 << 20))
+                a, b = np.searchsorted(upto, lo, "right") - 1, np.searchsorted(upto, hi, "left")
+                yield np.repeat(np.arange(a, b), np.diff(np.clip(upto[a : b + 1], lo, hi))), flat[lo:hi]
 
         def summed(by_doc: np.ndarray) -> np.ndarray:
             """For each feature, the sum of ``by_doc`` over the documents that have it; block by block."""
             out = np.zeros(len(names))
-            for lo in range(0, len(flat), 1 << 20):
-                out += np.bincount(flat[lo : lo + (1 << 20)], weights=by_doc[where[lo : lo + (1 << 20)]], minlength=len(names))
+            for where, cols in blocks():
+                out += np.bincount(cols, weights=by_doc[where], minlength=len(names))
             return out
 
         out, fed = cls(list(categories)), np.zeros((n_docs, 0))
 
-        def model(rows: np.ndarray, y: np.ndarray, extra: np.ndarray) -> Linear:
+        def model(rows: np.ndarray, y: np.ndarray, extra: np.ndarray) -> tuple[Linear, np.ndarray]:
+            """A model trained on ``rows``, and the places of its features."""
             use = np.zeros(n_docs, bool)
             use[rows] = True
             n1, n0 = max(1, int(y[rows].sum())), max(1, int((1 - y[rows]).sum()))
@@ -140,7 +153,7 @@ class Chain:
             best = best[np.abs(z[best]) >= LEAST_Z]
             w = _fit(dense(best, extra, rows), y[rows])
             k = len(best)
-            return Linear([names[i] for i in best], w[:k], w[k:-1], float(w[-1]))
+            return Linear([names[i] for i in best], w[:k], w[k:-1], float(w[-1])), best
 
         def dense(best: np.ndarray, extra: np.ndarray, rows: np.ndarray) -> np.ndarray:
             place = np.full(len(names) + 1, -1, np.int32)
@@ -148,8 +161,8 @@ class Chain:
             line = np.full(n_docs, -1, np.int32)
             line[rows] = np.arange(len(rows))
             x = np.zeros((len(rows), len(best) + extra.shape[1] + 1), np.float32)
-            for lo in range(0, len(flat), 1 << 20):
-                i, j = line[where[lo : lo + (1 << 20)]], place[flat[lo : lo + (1 << 20)]]
+            for where, cols in blocks():
+                i, j = line[where], place[cols]
                 both = (i >= 0) & (j >= 0)
                 x[i[both], j[both]] = 1
             x[:, len(best) : -1] = extra[rows]
@@ -171,9 +184,9 @@ class Chain:
                 if not len(rows) or y[rows].min() == y[rows].max():
                     oof[held] = _logit(np.array([y.mean()]))[0]
                     continue
-                m = model(rows, y, fed)
-                oof[held] = dense(np.array([index[f] for f in m.names], np.int64), fed, held) @ np.concatenate([m.weights, m.chain, [m.bias]])
-            out.models.append(model(np.arange(n_docs), y, fed))
+                m, best = model(rows, y, fed)
+                oof[held] = dense(best, fed, held) @ np.concatenate([m.weights, m.chain, [m.bias]])
+            out.models.append(model(np.arange(n_docs), y, fed)[0])
             fed = np.column_stack([fed, np.clip(oof, -9, 9)])
         return out
 
@@ -240,6 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, i
             words, style = got["words"][i].as_py(), got["style"][i].as_py()
             yield sorted({f for w in words.split() for f in word_features(w)} | set(style.split()))
 
+    # The JVM stands idle while Python trains: what it has gathered so far need not stay beside the training matrix.
+    clean(docs.sparkSession)
     chain = Chain.train(sets, y, got["fold"].to_numpy()[order], list(categories))
     del got, y
     give_back()
