@@ -8,11 +8,13 @@ meets more lists but demands more shared shingles. Pairs with enough of them are
 Groups of copies do not become pairs: documents with equal sets are one class from the start, each
 shingle's list is first linked to one member of like size, and of the lists that still join classes
 of different components only short ones pair them. A long one, of near copies that mostly do not link, takes a
-hub again and goes on with the shingles that its members have beyond the hub, which few of them share.
+hub again and goes on with the shingles that its members have beyond the hub, which few of them share. There
+a pair must meet in the prefix of its smaller set, which is shorter: a partner as large shares more with it.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -37,8 +39,9 @@ SKETCH_BLOCK = 1 << 14
 SUMMED = 64
 #: So many candidates at most are broadcast (64 MB) to find their texts.
 MOST_BROADCAST = 500_000
-#: Lists of so many members at most pair them all; after so many turns what is left does, whatever its length.
-SHORT, TURNS = 32, 6
+#: Lists of as many pairs as so many members have at most make them all. After so many turns what is left does, if it is no
+#: more than so many pairs for each class or the turn before has not halved it.
+SHORT, TURNS, PAIRS = 32, 6, 1
 
 
 def _scan(size: int, bits: int):
@@ -132,9 +135,9 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
-    """The lists whose members are of several components."""
-    several = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    return lists.select("list", "rest", "node", "n", "alone", "comp", *[c for c in ("pos", "need", "last") if c in lists.columns]).join(several, "list")
+    """The lists whose members are of several components, one of them at least ``short``."""
+    several = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).where("lo <> hi AND any").select("list")
+    return lists.select("list", "rest", "short", "node", "n", "alone", "comp", *[c for c in ("pos", "need", "last") if c in lists.columns]).join(several, "list")
 
 
 def _pairs(lists: DataFrame, facts: Sequence[str]) -> DataFrame:
@@ -146,6 +149,16 @@ def _pairs(lists: DataFrame, facts: Sequence[str]) -> DataFrame:
     return side("a").join(side("b"), "list").where("a < b AND comp_a <> comp_b")
 
 
+def _by_smaller(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of like size and different components that meet in a list where the smaller is ``short``."""
+
+    def side(e: str) -> DataFrame:
+        return lists.select("list", F.col("node").alias(e), F.col("comp").alias(f"comp_{e}"), F.col("n").alias(f"n_{e}"), F.col("short").alias(f"short_{e}"))
+
+    met = side("x").where("short_x").join(side("y"), "list").where(f"(n_x < n_y OR (n_x = n_y AND x < y)) AND comp_x <> comp_y AND 100 * n_x >= {percent} * n_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _apart(spokes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Lists that hold, for all pairs of members of a hub that link and that the hub does not connect, both members; and the links of hubs.
 
@@ -156,19 +169,26 @@ def _apart(spokes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     hub, own = sets.select(F.col("node").alias("hub"), F.col("toks").alias("th")), sets.select("node", F.col("toks").alias("tn"))
     both = spokes.join(hub, "hub").join(own, "node").withColumn("beyond", F.array_except("tn", "th")).drop("th", "tn")
     both = both.withColumn("i", F.col("n") - F.size("beyond")).withColumn("linked", F.expr(f"{percent + 100} * i >= {percent} * (n + nh)"))
-    # A partner shares at least ``percent`` of the larger set, so as many as are not the hub's lie beyond it.
-    must = F.expr(f"greatest(1, ({percent} * n + 99) DIV 100 - i)")
-    both = both.withColumn("beyond", F.slice("beyond", F.lit(1), F.greatest(F.lit(0), F.size("beyond") - must + 1).cast("int")))
+    # A partner shares percent / (100 + percent) of both sizes, so as many as are not the hub's lie beyond it: one as
+    # large or larger of twice this size, one smaller of this and the least size that the hub has met and that is like it.
+    smallest = spokes.groupBy(F.col("hub").alias("h")).agg(F.min("n").alias("least"))
+    both = both.join(smallest, F.col("hub") == F.col("h")).withColumn("least", F.greatest("least", F.expr(f"({percent} * n + 99) DIV 100"))).drop("h")
+
+    def prefix(other: str) -> Column:
+        must = F.expr(f"greatest(1, ({percent} * (n + {other}) + {percent + 99}) DIV {percent + 100} - i)")
+        return F.greatest(F.lit(0), F.size("beyond") - must + 1).cast("int")
+
+    both = both.withColumn("k", prefix("n")).withColumn("beyond", F.slice("beyond", F.lit(1), prefix("least"))).drop("least")
     both = keep(both.withColumn("comp", F.when(F.col("linked"), F.col("ch")).otherwise(F.col("comp"))))
-    prefixes = both.select(F.expr("hub"), F.explode("beyond").alias("t"), "node", "n", "alone", "comp")
-    lists = prefixes.select(F.xxhash64("hub", "t").alias("list"), F.lit(False).alias("rest"), "node", "n", "alone", "comp")
+    prefixes = both.select(F.expr("hub"), F.posexplode("beyond").alias("at", "t"), "k", "node", "n", "alone", "comp")
+    lists = prefixes.select(F.xxhash64("hub", "t").alias("list"), F.lit(False).alias("rest"), (F.col("at") < F.col("k")).alias("short"), "node", "n", "alone", "comp")
     # x and y both have enough of the hub only if n(y) <= reach(x) and n(x) <= reach(y); one of them does not link with the hub.
     reach = F.expr(f"{percent + 100} * i DIV {percent} - n")
     facts = both.select("hub", "node", "n", "alone", "comp", "linked", reach.alias("reach"))
     out = F.when(~F.col("linked"), F.col("n")), F.when(~F.col("linked"), F.col("reach"))
     ends = facts.groupBy("hub").agg(F.min("n").alias("least"), F.min(out[0]).alias("least_out"), F.max(out[1]).alias("most_out"))
     near = facts.join(ends, "hub").where("(NOT linked AND reach >= least) OR (n <= most_out AND reach >= least_out)")
-    rest = near.select(F.xxhash64("hub").alias("list"), F.lit(True).alias("rest"), "node", "n", "alone", "comp")
+    rest = near.select(F.xxhash64("hub").alias("list"), F.lit(True).alias("rest"), F.lit(True).alias("short"), "node", "n", "alone", "comp")
     return keep(_mixed(lists.union(rest))), both.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
@@ -258,13 +278,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     first = components(links)
     # 2. Lists that still hold several components: short ones pair their members, long ones go by a hub.
     named = used.join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    now = keep(_mixed(named.withColumnRenamed("token", "list").withColumn("rest", F.lit(False))))
-    asked, more = [], []
-    for turn in range(TURNS):
-        long = now.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("list")
-        last = turn == TURNS - 1 or not long.count()
+    now = keep(_mixed(named.withColumnRenamed("token", "list").withColumn("rest", F.lit(False)).withColumn("short", F.lit(True))))
+    asked, more, before = [], [], float("inf")
+    for turn in itertools.count():
+        long = now.groupBy("list").agg((F.count(F.lit(1)) * F.count_if("short")).alias("pairs")).where(F.col("pairs") > SHORT * SHORT)
+        left = long.agg(F.sum("pairs")).first()[0] or 0
+        last = not left or turn >= TURNS - 1 and (left <= PAIRS * classes.count() or 2 * left > before)
+        before, long = left, long.select("list")
         short = now if last else now.join(long, "list", "left_anti")
-        asked.append(keep(enough(_pairs(short, facts)) if turn == 0 else _pairs(short, ["n"]).where(like).select("a", "b")))
+        asked.append(keep(enough(_pairs(short, facts)) if turn == 0 else _by_smaller(short, percent)))
         if last:
             break
         hub = F.when(F.col("rest"), F.struct(F.col("n").alias("k"), F.col("alone").alias("k2"), "node", "n", "comp"))

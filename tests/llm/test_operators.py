@@ -89,6 +89,29 @@ def test_jaccard_join_goes_by_hubs(spark, monkeypatch, short, turns):
     assert linked(frame, 3, 90) == want
 
 
+def test_jaccard_join_meets_few_pairs_of_near_copies_that_do_not_link(spark, monkeypatch):
+    met, apart = [], jaccard_join._apart
+
+    def counted(*args):
+        lists, links = apart(*args)
+        short = F.count_if("short") if "short" in lists.columns else F.count(F.lit(1))
+        met.append(lists.groupBy("list").agg((F.count(F.lit(1)) * short).alias("k")).agg(F.sum("k")).first()[0] or 0)
+        return lists, links
+
+    monkeypatch.setattr(jaccard_join, "_apart", counted)
+    monkeypatch.setattr(jaccard_join, "SHORT", 8)
+    rng = np.random.default_rng(41)
+    base, made = [f"w{j}" for j in range(150)], []
+    for i in range(160):  # four to seven edits of their own each, so that few link, and edits that some share
+        t = list(base)
+        for at in rng.choice(150, rng.integers(4, 8), replace=False):
+            t[at] = f"e{i}x{at}" if rng.random() < 0.8 else f"s{at // 30}"
+        made.append(" ".join(t))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    assert linked(frame, 5, 80) == linked_by_brute_force(frame, 5, 80)
+    assert met and sum(met) < 5 * len(made), met
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_jaccard_join_of_texts_that_hold_others(spark, percent):
     rng = np.random.default_rng(29)
