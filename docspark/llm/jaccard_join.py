@@ -39,9 +39,9 @@ SKETCH_BLOCK = 1 << 14
 SUMMED = 64
 #: So many candidates at most are broadcast (64 MB) to find their texts.
 MOST_BROADCAST = 500_000
-#: Lists of as many pairs as so many members have at most make them all. After so many turns what is left does, if it is no
-#: more than so many pairs for each class or the turn before has not halved it.
-SHORT, TURNS, PAIRS = 32, 6, 1
+#: Lists of as many pairs as so many members have at most make them all. What is left does if it is no more than so many
+#: pairs for each class, or if after so many turns the turn before has not halved it.
+SHORT, TURNS, PAIRS = 32, 6, 0.25
 
 
 def _scan(size: int, bits: int):
@@ -255,8 +255,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
         """(node, toks) of the documents in ``pairs``, from their whole texts."""
         names = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node")
         names = keep(names.select("node", "rep", F.col("sig").alias("sig0")))
-        few = names.count() <= MOST_BROADCAST
-        found = rows.join(F.broadcast(names) if few else names, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "sig0", "text")
+        small = names.count() <= MOST_BROADCAST
+        found = rows.join(F.broadcast(names) if small else names, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "sig0", "text")
         return keep(found.mapInArrow(_sets(size, levels), "node long, sig0 binary, sig binary, toks array<long>").where("sig = sig0").select("node", "toks").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -280,10 +280,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, percent: int = 90, key: s
     named = used.join(first, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     now = keep(_mixed(named.withColumnRenamed("token", "list").withColumn("rest", F.lit(False)).withColumn("short", F.lit(True))))
     asked, more, before = [], [], float("inf")
+    few = PAIRS * classes.count()
     for turn in itertools.count():
         long = now.groupBy("list").agg((F.count(F.lit(1)) * F.count_if("short")).alias("pairs")).where(F.col("pairs") > SHORT * SHORT)
         left = long.agg(F.sum("pairs")).first()[0] or 0
-        last = not left or turn >= TURNS - 1 and (left <= PAIRS * classes.count() or 2 * left > before)
+        last = left <= few or turn >= TURNS - 1 and 2 * left > before
         before, long = left, long.select("list")
         short = now if last else now.join(long, "list", "left_anti")
         asked.append(keep(enough(_pairs(short, facts)) if turn == 0 else _by_smaller(short, percent)))
