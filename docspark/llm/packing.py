@@ -37,20 +37,25 @@ MOST_BROADCAST = 200_000
 
 def tokenize(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per row: doc_id, source (as a string), n, ids (compressed), task, run (tokens of its
-    source that the same task has seen before). Null text is empty; each document ends with id 0."""
+    source that the same task has seen before). Null text is empty; each document ends with id 0. Of
+    equal texts one after the other, as a mixture repeats its rows, the first alone is tokenized."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack, task = encoder(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
+        last, m, packed = None, 0, b""
         for b in batches:
             for lo, hi, _, _ in chunks(b.column("text")):
                 n, ids, before = [], [], []
                 part = b.slice(lo, hi - lo)
                 for s, t in zip(part.column("source").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    x = encode(t or "") + b"\0\0"
-                    ids.append(pack.compress(x))
-                    n.append(len(x) // 2)
+                    if (t or "") != last:
+                        last = t or ""
+                        x = encode(last) + b"\0\0"
+                        m, packed = len(x) // 2, pack.compress(x)
+                    ids.append(packed)
+                    n.append(m)
                     before.append(seen.get(s, 0))
                     seen[s] = before[-1] + n[-1]
                 own = [part.column("doc_id"), part.column("source")]
@@ -189,11 +194,13 @@ def pack(
             out = []
             for i, (s, n, ids, at) in enumerate(zip(*(b.column(c).to_pylist() for c in ("source", "n", "ids", "at")), strict=True)):
                 ends = upto[1:, index[s]]
-                k, lo = int(np.searchsorted(ends, at, "right")), at
+                k, lo, whole_row = int(np.searchsorted(ends, at, "right")), at, b""
                 while lo < at + n:
                     hi = min(at + n, int(ends[k]))
                     if hi > lo:
-                        out.append((i, k, lo, lo - at, hi - lo, ids if hi - lo == n else zip_.compress(unzip.decompress(ids)[2 * (lo - at) : 2 * (hi - at)])))
+                        if hi - lo < n:
+                            whole_row = whole_row or unzip.decompress(ids)
+                        out.append((i, k, lo, lo - at, hi - lo, ids if hi - lo == n else zip_.compress(whole_row[2 * (lo - at) : 2 * (hi - at)])))
                     k, lo = k + 1, hi
             row, *cols = zip(*out, strict=True) if out else ((),) * 6
             own = [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "source", "n")]

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from docspark.llm import packing
 
 
 def test_stages_keep_columns_and_effects(spark, tmp_path):
@@ -30,3 +31,28 @@ def test_near_duplicates_are_told_by_row_not_by_id(spark, tmp_path):
     assert out.columns == docs.columns
     want = [(5, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (3, text(5)), (None, None), (None, "")]
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_packing_tokenizes_the_copies_of_a_mix_once(spark, tmp_path, monkeypatch):
+    calls = tmp_path / "calls"
+
+    def counted():
+        from docspark.llm.tokens import encoder
+
+        encode = encoder()
+
+        def one(text):
+            with open(calls, "a") as f:
+                f.write("x")
+            return encode(text)
+
+        return one
+
+    rows = [(i // 2, f"document number {i // 2} " * (i // 2 + 1), "s") for i in range(40)] + [(20, None, "s"), (21, "", "s"), (0, "document number 0 ", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    want = packing.pack(docs).collect()
+    monkeypatch.setattr(packing, "encoder", counted)
+    got = packing.pack(docs).collect()
+    assert sorted(got) == sorted(want)
+    assert sum(r.length for r in got if r.doc_id == 7) == 2 * next(r.doc_tokens for r in got if r.doc_id == 7)
+    assert len(calls.read_text()) == 22
