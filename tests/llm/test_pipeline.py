@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import corpus_pipeline
 from docspark.llm import packing
 
@@ -33,6 +38,33 @@ def test_near_duplicates_are_told_by_row_not_by_id(spark, tmp_path):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
 
 
+_GROWN = """
+import psutil
+from pyspark.sql import SparkSession, functions as F
+import corpus_pipeline
+
+spark = SparkSession.builder.master("local-cluster[1,2,1400]").config("spark.executor.memory", "1100m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", "file://{tmp}/shared").getOrCreate()
+
+def executor():
+    return max(p.memory_info().rss for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()))
+
+spark.range(6_000_000).groupBy((F.col("id") % 1_000_000).alias("k")).agg(F.collect_list(F.md5(F.col("id").cast("string"))).alias("x")).where("size(x) > 100").count()
+docs = spark.createDataFrame([(1, "some words", "s")], "doc_id long, text string, source string")
+before = executor()
+corpus_pipeline.pack_sequences(spark, docs, "")
+print("MEMORY", before, executor())
+"""
+
+
+def test_a_stage_begins_with_small_executors(tmp_path):
+    root = str(Path(corpus_pipeline.__file__).parent)
+    (tmp_path / "grown.py").write_text(_GROWN.format(tmp=tmp_path))
+    env = os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}", "PYSPARK_PYTHON": sys.executable}
+    said = subprocess.run([sys.executable, "grown.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    before, after = map(int, said.stdout.split("MEMORY")[1].split())
+    assert after < 0.7 * before
+
+
 def test_packing_tokenizes_the_copies_of_a_mix_once(spark, tmp_path, monkeypatch):
     calls = tmp_path / "calls"
 
