@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +87,35 @@ def sweep(spark: SparkSession, since: int, but: int = 0) -> None:
 
 def clean(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files and broadcasts of frames that no one holds: it does so only when the driver
-    collects its garbage, which a large heap puts off; that heap shrinks, too."""
+    collects its garbage, which a large heap puts off; that heap shrinks, too, and so does what lies beside it."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+#: The JVM's own operation, also known as ``jcmd System.trim_native_heap``.
+_TRIM = "systemTrimNativeHeap"
+
+
+def trim(spark: SparkSession) -> None:
+    """Return to the system what the driver's JVM has freed outside its heap: compilers, collector and buffers allocate
+    there, and the C library keeps it, an arena for a thread. A JVM without that operation goes on as it is."""
+    jvm, lang = spark._jvm, spark._jvm.java.lang
+
+    def array(kind: Any, *values: Any) -> Any:
+        out = spark.sparkContext._gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    try:
+        # By reflection, for the class of the server is not open to callers.
+        kinds = [lang.Class.forName(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", array(lang.Class, *kinds))
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, bean, _TRIM, array(lang.Object), array(lang.String)))
+    except (Py4JError, PySparkException):
+        return
 
 
 def relieve(spark: SparkSession) -> None:

@@ -4,7 +4,8 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
-from docspark.llm import packing
+import psutil
+from docspark.llm import common, packing
 
 
 def test_stages_keep_columns_and_effects(spark, tmp_path):
@@ -65,6 +66,28 @@ def test_a_stage_begins_with_small_executors(tmp_path):
     assert after < 0.7 * before
 
 
+def test_cleaning_gives_back_what_the_driver_has_freed_beside_its_heap(spark, monkeypatch):
+    jvm, size = spark._jvm, 64_000
+    memory, system = jvm.org.apache.spark.unsafe.Platform, psutil.Process(jvm.java.lang.ProcessHandle.current().pid())
+    blocks = [memory.allocateMemory(size) for _ in range(2_500)]
+    for b in blocks[1:]:
+        memory.copyMemory(None, blocks[0], None, b, size)
+    held = blocks[::500] + blocks[-1:]  # the C library gives back what is free at the end by itself
+    for b in set(blocks) - set(held):
+        memory.freeMemory(b)
+    for _ in range(2):
+        jvm.System.gc()
+    monkeypatch.setattr(common, "_TRIM", "noSuchOperation")
+    common.clean(spark)
+    before = system.memory_info().rss
+    monkeypatch.undo()
+    common.clean(spark)
+    after = system.memory_info().rss
+    for b in held:
+        memory.freeMemory(b)
+    assert before - after > 100e6
+
+
 def test_packing_tokenizes_the_copies_of_a_mix_once(spark, tmp_path, monkeypatch):
     calls = tmp_path / "calls"
 
