@@ -30,7 +30,7 @@ from .plans.compiler import Bindings, Plan, Scope, column, compile_select
 from .catalog import FieldCatalog
 from .sources.backup import write_backup
 from .sources.storage import Store, check_name, discover
-from .streaming.results import USUAL_BATCH, Signal, batches, scope
+from .streaming.results import MOST_BATCH, USUAL_BATCH, Matched, Signal, batches, scope
 
 _WRITES = re.compile(r"\s*(insert\s+into|update|upsert\s+into|replace\s+into|unset|delete\s+from)\b", re.I)
 _GUIDANCE = {
@@ -163,7 +163,7 @@ class Engine:
         return self.compile(statement, params).df
 
     def execute(self, statement: str, params: Any = None, *, signal: Signal | None = None, timeout_ms: float | None = None, require_match: bool = False) -> Any:
-        """Rows of a SELECT, documents of ``SELECT *`` and FIND, ids of a mutation."""
+        """Rows of a SELECT, documents of ``SELECT *`` and FIND, ids of a mutation (a ``Matched`` if they are many)."""
         self._check_open()
         if not isinstance(statement, str):
             raise InvalidOption("a statement is text")
@@ -350,14 +350,15 @@ class Engine:
         both = df.join(hits, F.col(D.ID) == F.col("__hit"), "left")
         return F.col("__hit").isNotNull(), both
 
-    def _change(self, name: str, s: S.Select, params: Any, edit, insert: list | None = None, removed: bool = False) -> list[dict]:
-        """Commit a version in which ``edit(df, mask)`` replaces the rows; ids of the matched ones."""
+    def _change(self, name: str, s: S.Select, params: Any, edit, insert: list | None = None, removed: bool = False) -> list[dict] | Matched:
+        """Commit a version in which ``edit(df, mask)`` replaces the rows; ids of the matched ones, which the driver
+        holds only if they are few."""
         store = self._locked(name)
         with store.lock():
             body = store.read()
             df = store.load(self.spark, body)
             mask, reach = self._matched(df, s, params)
-            ids = [r[0] for r in reach.where(mask).select(D.ID).orderBy(D.ID).collect()]
+            ids = self._ids(store, reach.where(mask).select(D.ID))
             if not ids:
                 if insert is None:
                     return []
@@ -370,7 +371,18 @@ class Engine:
             new = body | {"parts": [store.new_part(out)], "schema": out.schema.jsonValue(), "rows": body["rows"] - (len(ids) if removed else 0)}
             new["history"] = self._history(new, out.schema)
             store.commit(new, body["version"])
-        return [{"object_id": i} for i in ids]
+        return ids
+
+    def _ids(self, store: Store, hits: DataFrame) -> list[dict] | Matched:
+        """Ids of the rows that a mutation picks; many are noted in a part of their own, which no version names, so
+        that they are what the mutation saw, and a vacuum takes them."""
+        if hits.count() <= MOST_BATCH:
+            return [{"object_id": r[0]} for r in hits.orderBy(D.ID).collect()]
+        part = store.new_part(hits)
+        lease = lambda: store.lease({"parts": [part]})
+        lease()
+        noted = self.spark.read.schema(hits.schema).parquet(str(store.dir / part))
+        return Matched(noted, noted.count(), lease)
 
     def _payload(self, payload: Any) -> dict:
         if isinstance(payload, (list, tuple)) or not isinstance(payload, dict):
@@ -378,7 +390,7 @@ class Engine:
         D.check(payload)
         return payload
 
-    def _update(self, rest: str, params: Any, kind: str, _: bool) -> list[dict]:
+    def _update(self, rest: str, params: Any, kind: str, _: bool) -> list[dict] | Matched:
         p = S.Parser(rest)
         name = p.collection()
         if not p.accept("set"):
@@ -427,7 +439,7 @@ class Engine:
         types = {"int": T.LongType(), "bool": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "blob": T.BinaryType(), "null": T.NullType(), "cell": D.CELL, "array": D.ARRAY}
         return V.output(v) if v.cls != "null" else F.lit(None), types[v.cls]
 
-    def _upsert(self, rest: str, payload: Any, kind: str, require_match: bool) -> list[dict]:
+    def _upsert(self, rest: str, payload: Any, kind: str, require_match: bool) -> list[dict] | Matched:
         p = S.Parser(rest)
         name = p.collection()
         s = self._selector(p, name)
@@ -452,7 +464,7 @@ class Engine:
 
         return self._change(name, s, params, edit, insert=None if require_match else docs)
 
-    def _unset(self, rest: str, params: Any, kind: str, _: bool) -> list[dict]:
+    def _unset(self, rest: str, params: Any, kind: str, _: bool) -> list[dict] | Matched:
         p = S.Parser(rest)
         targets: list[Any] = []
         while True:
@@ -484,7 +496,7 @@ class Engine:
 
         return self._change(name, s, params, edit)
 
-    def _delete(self, rest: str, params: Any, kind: str, _: bool) -> list[dict]:
+    def _delete(self, rest: str, params: Any, kind: str, _: bool) -> list[dict] | Matched:
         p = S.Parser(rest)
         name = p.collection()
         s = self._selector(p, name)

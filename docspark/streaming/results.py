@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from contextlib import contextmanager
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import Aborted, InvalidOption, TimedOut
+from ..types import ID
 
 LEAST_BATCH, MOST_BATCH, USUAL_BATCH = 1, 10_000, 100
 
@@ -88,3 +90,40 @@ def batches(df: DataFrame, decode: Callable[[Any], Any], size: int = USUAL_BATCH
                 out = []
         if out:
             yield out
+
+
+class Matched(Collection):
+    """What a mutation of more than ``MOST_BATCH`` documents returns in place of a list: the ids it matched, ascending,
+    read from where it noted them, a partition at a time, whenever they are gone through. Like any reader's version they
+    last until a vacuum after the lease, or until a ``:memory:`` engine closes."""
+
+    def __init__(self, df: DataFrame, count: int, lease: Callable[[], None]) -> None:
+        self._df, self._count, self._lease = df, count, lease
+
+    def __len__(self) -> int:
+        return self._count
+
+    def __iter__(self) -> Iterator[dict]:
+        self._lease()
+        for row in self._df.orderBy(ID).toLocalIterator(prefetchPartitions=False):
+            yield {"object_id": row[0]}
+
+    def __contains__(self, x: Any) -> bool:
+        return any(x == y for y in self)
+
+    def __getitem__(self, i: int | slice) -> Any:
+        at = range(self._count)[i]
+        if isinstance(at, int):
+            return next(islice(self, at, None))
+        out = list(islice(self, min(at), max(at) + 1, abs(at.step))) if at else []
+        return out if at.step > 0 else out[::-1]
+
+    def __eq__(self, other: object) -> bool:
+        if not isinstance(other, (list, Matched)):
+            return NotImplemented
+        return len(self) == len(other) and all(x == y for x, y in zip(self, other, strict=True))
+
+    __hash__ = None
+
+    def __repr__(self) -> str:
+        return f"<{self._count} matched ids>"

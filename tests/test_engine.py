@@ -307,3 +307,28 @@ def test_learner_evaluates_by_itself(spark, tmp_path):
         for i in range(3):
             e.execute("SELECT k FROM c WHERE k = ?", [i])
         assert e._store("c").read()["learner"]["managed"].keys() == {"k"}
+
+
+MANY = {
+    "DELETE FROM c WHERE k > 99": lambda k: None if k > 99 else (k, 7),
+}
+
+
+@pytest.mark.parametrize("statement", MANY)
+def test_the_driver_never_holds_the_ids_of_a_large_mutation(spark, tmp_path, monkeypatch, statement):
+    n, at_once = 30_000, []
+    kind = type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: at_once.append(len(rows := collect(df))) or rows)
+    with Engine(spark, str(tmp_path / "db"), lease_s=0) as e:
+        e.load("c", spark.range(1, n + 1).selectExpr("id AS k", "7 AS v"), "k")
+        got = e.execute(statement)
+        assert max(at_once, default=0) <= 10_000
+        expected = [{"object_id": k} for k in range(1, n + 1) if MANY[statement](k) != (k, 7)]
+        assert len(got) == len(expected) and got == expected and expected == got and got != expected[1:]
+        assert got[0] == expected[0] and got[-1] == expected[-1] and got[5:9:2] == expected[5:9:2] and expected[3] in got
+        e.execute("UPDATE c SET v = 8")  # what a mutation matched stays what it was
+        assert got == expected
+        rows = sorted((r.k, r.v) for r in e.frame("c").toLocalIterator())
+        assert len(rows) == e._store("c").read()["rows"] == sum(MANY[statement](k) is not None for k in range(1, n + 1))
+        assert e.vacuum("c")["leased"] == 0 and e.storage_stats("c")["c"]["reclaimable_bytes"] == 0
