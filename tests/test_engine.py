@@ -310,8 +310,9 @@ def test_learner_evaluates_by_itself(spark, tmp_path):
 
 
 MANY = {
-    "DELETE FROM c WHERE k > 99": lambda k: None if k > 99 else (k, 7),
-    "UNSET v FROM c WHERE k > 99": lambda k: (k, None if k > 99 else 7),
+    "DELETE FROM c WHERE k > 99": lambda k: None if k > 99 else (k, 0),
+    "UNSET v FROM c WHERE k > 99": lambda k: (k, None if k > 99 else 0),
+    "UPDATE c SET k = v, v = k": lambda k: (0, k),
 }
 
 
@@ -322,10 +323,10 @@ def test_the_driver_never_holds_the_ids_of_a_large_mutation(spark, tmp_path, mon
     collect = kind.collect
     monkeypatch.setattr(kind, "collect", lambda df: at_once.append(len(rows := collect(df))) or rows)
     with Engine(spark, str(tmp_path / "db"), lease_s=0) as e:
-        e.load("c", spark.range(1, n + 1).selectExpr("id AS k", "7 AS v"), "k")
+        e.load("c", spark.range(1, n + 1).selectExpr("id AS k", "0L AS v"), "k")
         got = e.execute(statement)
         assert max(at_once, default=0) <= 10_000
-        expected = [{"object_id": k} for k in range(1, n + 1) if MANY[statement](k) != (k, 7)]
+        expected = [{"object_id": k} for k in range(1, n + 1) if MANY[statement](k) != (k, 0)]
         assert len(got) == len(expected) and got == expected and expected == got and got != expected[1:]
         assert got[0] == expected[0] and got[-1] == expected[-1] and got[5:9:2] == expected[5:9:2] and expected[3] in got
         rows = [tuple(r) for r in e.frame("c").orderBy("object_id").select("k", "v").toLocalIterator()]
