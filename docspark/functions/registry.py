@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import SyntaxProblem, UnknownFunction
-from .values import RANK, Value, bitwise, cell_of, common, compare, literal, match, null, number, output, text  # noqa: F401
+from .values import RANK, Value, bitwise, cell_of, common, compare, literal, match, null, number, once, output, text  # noqa: F401
 
 Fn = Callable[[list[Value]], Value]
 SCALARS: dict[str, Fn] = {}
@@ -295,12 +295,19 @@ def _variant(v: Value, path: str) -> Column:
 
 
 def _typed(v: Column) -> Value:
-    """A JSON value as a cell: true and false are 1 and 0, arrays and objects their text."""
-    kind = F.schema_of_variant(v)
-    n = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
-    s = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json(v))
+    """A JSON value as a cell: true and false are 1 and 0, arrays and objects their text. It is parsed once."""
+
+    def cell(v: Column, kind: Column) -> Column:
+        n = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+        s = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json(v))
+        return once(F.struct(n.alias("n"), s.alias("s")), lambda x: _cell(x["n"], x["s"]))
+
+    return Value(once(v, lambda v: once(F.schema_of_variant(v), lambda kind: cell(v, kind))), "cell", costly=True)
+
+
+def _cell(n: Column, s: Column) -> Column:
     one = F.when(n.isNotNull(), F.struct(F.lit(RANK["int"]).alias("__rank"), F.lit("number").alias("__kind"), n.alias("__n"), F.lit(None).cast("string").alias("__s"), F.lit(None).cast("binary").alias("__b")))
-    return Value(one.when(s.isNotNull(), F.struct(F.lit(RANK["text"]).alias("__rank"), F.lit("string").alias("__kind"), F.lit(None).cast("double").alias("__n"), s.alias("__s"), F.lit(None).cast("binary").alias("__b"))), "cell")
+    return one.when(s.isNotNull(), F.struct(F.lit(RANK["text"]).alias("__rank"), F.lit("string").alias("__kind"), F.lit(None).cast("double").alias("__n"), s.alias("__s"), F.lit(None).cast("binary").alias("__b")))
 
 
 @define("json_arrow", least=2)
@@ -314,10 +321,12 @@ def _json_type(a):
     path = a[1].literal if len(a) > 1 else "$"
     if not isinstance(path, str):
         raise SyntaxProblem("json_type takes a constant path")
-    v = _variant(a[0], path)
-    kind = F.schema_of_variant(v)
-    name = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "string")).when(kind == "BIGINT", "integer").when(kind == "STRING", "text")
-    return Value(F.when(v.isNotNull(), name.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("real")), "text")
+
+    def name(v: Column, kind: Column) -> Column:
+        known = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "string")).when(kind == "BIGINT", "integer").when(kind == "STRING", "text")
+        return F.when(v.isNotNull(), known.when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("real"))
+
+    return Value(once(_variant(a[0], path), lambda v: once(F.schema_of_variant(v), lambda kind: name(v, kind))), "text")
 
 
 define("json_array_length")(lambda a: Value(F.json_array_length(_json(a[0])).cast("long"), "int"))

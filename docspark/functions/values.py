@@ -7,6 +7,7 @@ text and text before blobs; across classes nothing is equal. Booleans and dates
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -27,8 +28,16 @@ class Value:
     cls: str
     literal: Any = None
     typed: Value | None = None  # what it is where it is compared or reckoned with, if not what it shows
+    costly: bool = False  # a cell that is worked out anew wherever its Column stands
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)``, with ``c`` worked out a single time however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _each(v: Value, f: Callable[[Column], Column]) -> Column:
+    return once(v.col, f) if v.costly else f(v.col)
 
 
 def null() -> Value:
@@ -77,8 +86,7 @@ def field(col: Column, t: T.DataType) -> Value:
 def cell_of(v: Value) -> Column:
     """A value as a struct that sorts as storage classes do; null stays null."""
     if v.cls == "cell":
-        c = v.col
-        return F.when(c.isNotNull(), F.struct(c["__rank"].alias("r"), c["__n"].alias("n"), c["__s"].alias("s"), c["__b"].alias("b")))
+        return _each(v, lambda c: F.when(c.isNotNull(), F.struct(c["__rank"].alias("r"), c["__n"].alias("n"), c["__s"].alias("s"), c["__b"].alias("b"))))
     c, r = v.col, RANK.get(v.cls, 1)
     none = lambda t: F.lit(None).cast(t)
     n = c.cast("double") if v.cls in NUMERIC else none("double")
@@ -106,8 +114,7 @@ def number(v: Value) -> Value:
                 return literal(int(m[1]))
         return Value(F.when(v.col.isNotNull(), F.coalesce(head.try_cast("double"), F.lit(0.0))), "real")
     if v.cls == "cell":
-        c = v.col
-        return Value(F.when(c.isNotNull(), F.coalesce(c["__n"], F.regexp_extract(c["__s"], r"^\s*([+-]?\d+\.?\d*)", 1).try_cast("double"), F.lit(0.0))), "real")
+        return Value(_each(v, lambda c: F.when(c.isNotNull(), F.coalesce(c["__n"], F.regexp_extract(c["__s"], r"^\s*([+-]?\d+\.?\d*)", 1).try_cast("double"), F.lit(0.0)))), "real")
     return Value(F.when(v.col.isNotNull(), F.lit(0)).cast("long"), "int")
 
 
@@ -146,9 +153,8 @@ def compare(op: str, a: Value, b: Value) -> Value:
     if "object" in (a.cls, b.cls):
         raise UnsupportedSyntax("objects cannot be compared")
     if "cell" in (a.cls, b.cls) or "array" in (a.cls, b.cls):
-        x, y = cell_of(a), cell_of(b)
-        none = a.col.isNull() | b.col.isNull()
-        return Value(F.when(~none, _apply(op, x, y)), "bool")
+        # Null where either is, as cells themselves are.
+        return Value(_apply(op, cell_of(a), cell_of(b)), "bool")
     if RANK[a.cls] != RANK[b.cls]:
         known = {"=": False, "!=": True, "<": RANK[a.cls] < RANK[b.cls], "<=": RANK[a.cls] < RANK[b.cls], ">": RANK[a.cls] > RANK[b.cls], ">=": RANK[a.cls] > RANK[b.cls]}[op]
         return Value(F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(known)), "bool")

@@ -335,3 +335,19 @@ def test_the_driver_never_holds_the_ids_of_a_large_mutation(spark, tmp_path, mon
         e.execute("UPDATE c SET v = 8")  # what a mutation matched stays what it was
         assert got == expected
         assert e.vacuum("c")["leased"] == 0 and e.storage_stats("c")["c"]["reclaimable_bytes"] == 0
+
+
+def test_a_json_value_is_parsed_once(spark):
+    odd = ["7", '"7"', "true", "false", "null", "[1, 2]", '{"a": 1}', "1.5", "1e400", "12345678901234567890123", '"60"', "60", "-3", '""']
+    texts = [f'{{"k": {x}}}' for x in odd] + ["{}", "no JSON", None, '{"k": 1, "k": 2}']
+    with Engine(spark) as e:
+        e.register("j", spark.createDataFrame(list(enumerate(texts)), "i int, j string"), "i")
+        at = lambda where: [r["i"] for r in e.execute(f"SELECT i FROM j WHERE {where} ORDER BY i")]
+        assert at("JSON_EXTRACT(j, '$.k') > 50") == [1, 5, 6, 8, 9, 10, 11, 13]  # text is above every number
+        assert at("JSON_EXTRACT(j, '$.k') <> 7") == [1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13]
+        assert at("JSON_EXTRACT(j, '$.k') = '[1,2]'") == [5] and at("JSON_EXTRACT(j, '$.k') + 1 = 8") == [0, 1]
+        assert at("JSON_EXTRACT(j, '$.k') = JSON_EXTRACT(j, '$.k')") == list(range(4)) + list(range(5, 14))
+        assert [r["t"] for r in e.execute("SELECT JSON_TYPE(j, '$.k') AS t FROM j ORDER BY i")] == ["integer", "text", "true", "false", "null", "array", "object", "real", "real", "real", "text", "integer", "integer", "text", None, None, None, None]
+        for what, times in {"i FROM j WHERE JSON_EXTRACT(j, '$.k') > 50 AND JSON_EXTRACT(j, '$.k') <> 69": 2, "JSON_EXTRACT(j, '$.k') * 2 AS d FROM j": 1, "JSON_TYPE(j, '$.k') AS t FROM j": 1}.items():
+            plan = e.query(f"SELECT {what}")._jdf.queryExecution().optimizedPlan().toString()
+            assert 1 <= plan.count("parseJson") <= times
